@@ -29,17 +29,22 @@ PAGES = ("cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "koi8-r", "iso885
 WIDE = ("utf-8", "shift_jis", "euc_jp")
 #: Sources fall into so many groups, each with weights of its own; that bounds what is sent to the workers.
 GROUPS = 1024
+#: Words' worth of belief that the weights of the whole corpus have in each source group.
+BACKED = 500.0
 #: Rounds of expectation-maximization.
 ROUNDS = 2
 #: Prior odds of a cipher in a source before anything is learned, and the log odds a document needs to be reported.
-PRIOR, ENOUGH = 1e-4, 3.0
+PRIOR, ENOUGH = 1e-4, -1.0
 #: Shares of a document's words that may be garbled, tried in turn.
-PARTS = (0.02, 0.2, 0.8)
+PARTS = (0.02, 0.07, 0.25, 0.8)
 #: Rounds of the same or another cipher, one over the other, that are undone.
 DEPTH = 3
 #: Words a worker remembers.
 REMEMBERED = 1 << 17
 
+#: Code points that stand for whole categories in folded words, and the cost (log odds) of one character of such.
+FIRST_CLASS, RARE = 0xE000, math.log(1000)
+
 _SPACES = re.compile(r"[ \t\r\n]+")
 _BEYOND = re.compile(r"[^\x00-\x7f]")
 
@@ -51,7 +56,7 @@ def _page(name: str) -> dict[str, int]:
 
 _OF = {p: _page(p) for p in PAGES}
 _LETTER = {p: {b: c for c, b in t.items()} for p, t in _OF.items()}
-_KNOWN = {c for t in _OF.values() for c in t if unicodedata.category(c)[0] != "C"}
+_KNOWN = {x for t in _OF.values() for c in t for x in (c, c.lower()) if len(x) == 1 and unicodedata.category(c)[0] != "C"}
 
 
 def folded(word: str) -> str:
@@ -69,26 +74,38 @@ def folded(word: str) -> str:
         elif 0x80 <= o < 0xA0 or o == 0xFFFD:
             out.append("\x80")
         else:
-            out.append("" + unicodedata.category(c)[0])
+            out.append(chr(FIRST_CLASS + "LMNPSZC".index(unicodedata.category(c)[0])))
     return "^" + "".join(out) + "$"
 
 
+def ideographs(word: str) -> list[str]:
+    """The characters that the folded word holds only by their class."""
+    return [c for c in unicodedata.normalize("NFC", word) if 0x4E00 <= ord(c) <= 0x9FFF]
+
+
 class Bigrams:
-    """Smoothed log probabilities of words."""
+    """Smoothed log probabilities of words. An ideograph counts as its class in the bigrams, then by its own share of
+    the class; counts under a single character are those of ideographs."""
 
     def __init__(self, counts: dict[str, float]):
-        self.pair = counts
+        self.pair = {p: n for p, n in counts.items() if len(p) == 2}
+        self.sign = {p: n for p, n in counts.items() if len(p) == 1}
+        self.signs = sum(self.sign.values()) + 0.1 * 20992
         self.first, self.letter = defaultdict(float), defaultdict(float)
-        for p, n in counts.items():
+        for p, n in self.pair.items():
             self.first[p[0]] += n
             self.letter[p[1]] += n
-        self.total = sum(counts.values()) + 1.0
+        self.total = sum(self.pair.values()) + 1.0
 
     def log(self, word: str) -> float:
         w, s = folded(word), 0.0
         for a, b in zip(w, w[1:]):
             q = (self.letter.get(b, 0.0) + 0.01) / self.total
             s += math.log((self.pair.get(a + b, 0.0) + 2.0 * q) / (self.first.get(a, 0.0) + 2.0))
+            if FIRST_CLASS <= ord(b) < FIRST_CLASS + 7:
+                s -= RARE
+        if "一" in w:
+            s += sum(math.log((self.sign.get(c, 0.0) + 0.1) / self.signs) for c in ideographs(word))
         return s
 
 
@@ -166,6 +183,8 @@ def _add_bigrams(counts: dict, word: str, n: float) -> None:
     w = folded(word)
     for a, b in zip(w, w[1:]):
         counts[a + b] += n
+    for c in ideographs(word) if "一" in w else ():
+        counts[c] += n
 
 
 def _bigrams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,9 +214,10 @@ def _expect(shared):
         for batch in batches:
             for group, word, n in zip(batch.column("grp").to_pylist(), batch.column("word").to_pylist(), batch.column("n").to_pylist()):
                 for name, text, p in _posterior(word, reader, lm, lambda c: weights.get((group, c), PRIOR)):
-                    w = folded(text)
-                    for a, b in zip(w, w[1:]):
-                        out["bigram", a + b] += p * n
+                    read: dict[str, float] = defaultdict(float)
+                    _add_bigrams(read, text, p * n)
+                    for k, x in read.items():
+                        out["bigram", k] += x
                     if name is not None:
                         out["cipher", f"{group}|{name}"] += p * n
                         if name in reader.narrow and len(text) == len(word):
@@ -240,19 +260,23 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast((dict(bigrams), weights))
         got = suspects.mapInArrow(_expect(shared), "kind string, k string, x double").groupBy("kind", "k").agg(F.sum("x").alias("x")).collect()
-        bigrams, weights, letters, totals = defaultdict(float, base), {}, defaultdict(dict), {}
+        bigrams, letters, totals = defaultdict(float, base), defaultdict(dict), {}
+        seen: dict[tuple[int, str], float] = {}
+        everywhere: dict[str, float] = defaultdict(float)
         for r in got:
             if r.kind == "words":
                 totals[int(r.k)] = r.x
-        for r in got:
-            if r.kind == "bigram":
+            elif r.kind == "bigram":
                 bigrams[r.k] += r.x
             elif r.kind == "cipher":
                 group, name = r.k.split("|", 1)
-                weights[int(group), name] = (r.x + PRIOR) / (totals[int(group)] + 1)
-            elif r.kind == "letter":
+                seen[int(group), name] = r.x
+                everywhere[name] += r.x
+            else:
                 name, pair = r.k.split("|", 1)
                 letters[name].setdefault(pair[0], Counter())[pair[1]] += r.x
+        all_words = sum(totals.values()) + 1
+        weights = {(g, c): max((seen.get((g, c), 0.0) + BACKED * everywhere[c] / all_words) / (totals[g] + BACKED), 1e-12) for g in totals for c in everywhere}
         tables = {name: {c: best.most_common(1)[0][0] for c, best in t.items()} for name, t in letters.items()}
     return Model(dict(bigrams), weights, tables)
 
@@ -285,7 +309,7 @@ class Judge:
         for w in suspects:
             for name, _, gain in self.gains(w):
                 by[name].append(gain)
-        best, score = None, 0.0
+        best, score = None, -math.inf
         for name, gains in by.items():
             idle = len(suspects) - len(gains)
             prior = math.log(max(self.m.weights.get((group, name), 0.0), PRIOR))
