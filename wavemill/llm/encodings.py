@@ -39,6 +39,8 @@ PRIOR, ENOUGH = 1e-4, -1.0
 PARTS = (0.02, 0.07, 0.25, 0.8)
 #: Rounds of the same or another cipher, one over the other, that are undone.
 DEPTH = 3
+#: Words that one task of the learning weighs.
+WORDS_PER_TASK = 10_000
 #: Words a worker remembers.
 REMEMBERED = 1 << 17
 
@@ -128,42 +130,45 @@ class Reader:
     def __init__(self, names: list[str] | None = None, tables: dict[str, dict[str, str]] | None = None):
         self.names = ciphers() if names is None else names
         tables = tables or {}
-        self.narrow, self.wide = {}, {}
+        self.pages: dict[str, list[str]] = defaultdict(list)  # ciphers by the page they were read as
+        self.narrow, self.patterns = {}, {}
         for name in self.names:
             read, written = name.split(">")
+            self.pages[read].append(name)
             if written in PAGES:
-                table = {c: _LETTER[written][b] for c, b in _OF[read].items()} | tables.get(name, {})
-                self.narrow[name] = (str.maketrans(table), set(table))
-            else:
-                self.wide[name] = (_OF[read], written, _utf8_pattern(read) if written == "utf-8" else None)
+                self.narrow[name] = str.maketrans({c: _LETTER[written][b] for c, b in _OF[read].items()} | tables.get(name, {}))
+            elif written == "utf-8":
+                self.patterns[name] = _utf8_pattern(read)
 
     def once(self, word: str, name: str) -> str | None:
+        """The word under a cipher; None if it can't be read so. For single bytes, all its letters are of the page."""
         if name in self.narrow:
-            table, letters = self.narrow[name]
-            return word.translate(table) if all(c in letters for c in word if c > "\x7f") else None
-        page, written, pattern = self.wide[name]
-        if pattern is None:
-            if any(c > "\x7f" and c not in page for c in word):
-                return None
-            try:
-                return bytes(page.get(c, ord(c) & 127) for c in word).decode(written)
-            except UnicodeDecodeError:
-                return None
-        to_bytes = lambda m: bytes(page[c] for c in m[0]).decode("utf-8", "replace")
-        return pattern.sub(to_bytes, word)
+            return word.translate(self.narrow[name])
+        read, written = name.split(">")
+        page = _OF[read]
+        if name in self.patterns:
+            return self.patterns[name].sub(lambda m: bytes(page[c] for c in m[0]).decode("utf-8", "replace"), word)
+        try:
+            return bytes(page[c] if c > "\x7f" else ord(c) for c in word).decode(written)
+        except (UnicodeDecodeError, KeyError):
+            return None
 
     def readings(self, word: str) -> dict[str, str]:
         """Cipher to what it makes of the word, ciphers that change nothing left out."""
-        out = {}
-        for name in self.names:
-            was, now = word, word
-            for _ in range(DEPTH if name in self.wide else 1):
-                was, now = now, self.once(now, name)
-                if now is None or now == was:
-                    now = was
-                    break
-            if now != word and "�" not in now:
-                out[name] = now
+        out, beyond = {}, set(_BEYOND.findall(word))
+        for read, names in self.pages.items():
+            whole = beyond <= _OF[read].keys()
+            for name in names:
+                if not whole and name not in self.patterns:
+                    continue
+                was, now = word, self.once(word, name)
+                for _ in range(DEPTH - 1 if name not in self.narrow else 0):
+                    if now is None or now == was:
+                        break
+                    was, now = now, self.once(now, name)
+                now = was if now is None else now
+                if now != word and "�" not in now:
+                    out[name] = now
         return out
 
 
@@ -196,8 +201,10 @@ def _bigrams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _posterior(word: str, reader: Reader, lm: Bigrams, weight) -> list[tuple[str | None, str, float]]:
-    found = [(None, word, lm.log(word))]
-    found += [(name, text, math.log(weight(name)) + lm.log(text)) for name, text in reader.readings(word).items()]
+    readings = reader.readings(word)
+    score = {text: lm.log(text) for text in {word, *readings.values()}}
+    found = [(None, word, score[word])]
+    found += [(name, text, math.log(weight(name)) + score[text]) for name, text in readings.items()]
     top = max(s for *_, s in found)
     odds = [math.exp(s - top) for *_, s in found]
     total = sum(odds)
@@ -250,6 +257,8 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     words = materialise(counts.groupBy("grp", "word").agg(F.sum("n").alias("n")), "words")
     plain = words.where("grp < 0").mapInArrow(_bigrams_of, "k string, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()
     suspects = words.where("grp >= 0")
+    # a word takes far more time than bytes, so tasks are cut by words
+    suspects = suspects.repartition(max(spark.sparkContext.defaultParallelism, suspects.count() // WORDS_PER_TASK))
     first = suspects.mapInArrow(_bigrams_of, "k string, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()
     base = {r.k: r.x for r in plain}
     bigrams = defaultdict(float, base)
@@ -296,8 +305,9 @@ class Judge:
         if got is None:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            base = self.lm.log(word)
-            got = self.known[word] = [(n, t, self.lm.log(t) - base) for n, t in self.reader.readings(word).items()]
+            readings = self.reader.readings(word)
+            score = {text: self.lm.log(text) for text in {word, *readings.values()}}
+            got = self.known[word] = [(n, t, score[t] - score[word]) for n, t in readings.items()]
         return got
 
     def judge(self, text: str, group: int) -> tuple[str | None, float, str]:
