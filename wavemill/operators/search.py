@@ -16,6 +16,25 @@ from wavemill.schema import METADATA
 from wavemill.tuning import BandTuning, HitOptions, PostingTuning, QueryOptions
 
 
+#: Query rows up to which a batch of queries is sent to every executor (some 10 MB); a larger batch is shuffled.
+SENT_ROWS = 200_000
+
+
+def _met(queries: DataFrame, index: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """The join of exploded queries with an index, placed so that what follows is grouped without another shuffle.
+
+    A small batch goes to every executor and the index is spread by id: all that one id meets then lies in one place,
+    and the many joined rows are counted where they arise. ``rows`` bounds the rows of ``queries``.
+    """
+    if rows <= SENT_ROWS:
+        return index.repartition("fp_id").join(F.broadcast(queries), keys)
+    return queries.join(index, keys)
+
+
+def _values(queries: DataFrame) -> int:
+    return queries.agg(F.coalesce(F.sum(F.greatest(F.size("values"), F.lit(0))), F.lit(0))).first()[0]
+
+
 def band_matches(queries: DataFrame, postings: DataFrame, tuning: BandTuning = BandTuning(), overflow: DataFrame | None = None) -> DataFrame:
     """``(qid, fp_id, matches, qpos, pos)``: how often a fingerprint's postings meet the query's bands, and where the
     first meeting lies (in order of query position, band, main before overflow, position).
@@ -30,9 +49,12 @@ def band_matches(queries: DataFrame, postings: DataFrame, tuning: BandTuning = B
         parts = parts.unionByName(overflow.select("band", "band_value", "fp_id", "pos", F.lit(1).alias("late")))
     parts = parts.where(F.col("fp_id").isNotNull() & F.col("pos").isNotNull())
     p = parts.groupBy("band", "band_value", "fp_id", "late").agg(F.count(F.lit(1)).alias("pn"), F.min("pos").alias("p1"))
-    met = q.join(p, ["band", "band_value"])
-    both = met.groupBy("qid", "fp_id").agg(F.sum(F.col("qn") * F.col("pn")).alias("matches"), F.min(F.struct("q1", "band", "late", "p1")).alias("first"))
-    return both.select("qid", "fp_id", "matches", F.col("first.q1").alias("qpos"), F.col("first.p1").alias("pos"))
+    met = _met(q, p, ["band", "band_value"], _values(queries) * tuning.num_bands)
+    # the order of the meetings as one number, query position, 5 bits of band, 1 bit late, 26 bits of position: a
+    # number aggregates by hash, a struct only by sorting
+    order = F.shiftleft(F.col("q1").cast("bigint"), 32) + F.col("band") * F.lit(1 << 27) + F.col("late") * F.lit(1 << 26) + F.col("p1")
+    both = met.groupBy("qid", "fp_id").agg(F.sum(F.col("qn") * F.col("pn")).alias("matches"), F.min(order).alias("first"))
+    return both.select("qid", "fp_id", "matches", F.shiftright("first", 32).cast("int").alias("qpos"), F.col("first").bitwiseAND(F.lit((1 << 26) - 1)).cast("int").alias("pos"))
 
 
 def band_candidates(queries: DataFrame, postings: DataFrame, tuning: BandTuning = BandTuning(), options: QueryOptions = QueryOptions(), overflow: DataFrame | None = None) -> DataFrame:
@@ -99,10 +121,14 @@ def full_query(queries: DataFrame, postings: DataFrame, *, tuning: PostingTuning
     all_ = postings if overflow is None else postings.unionByName(overflow)
     q = queries.select("qid", F.posexplode("values").alias("p", "v")).where(F.col("v").isNotNull())
     q = q.select("qid", "p", quantized("v", tuning.qbits).alias("hash"))
-    votes = q.join(all_, "hash").select("qid", "fp_id", (F.col("ordinal") * tuning.stride - F.col("p")).alias("delta"))
+    votes = _met(q, all_, ["hash"], _values(queries)).select("qid", "fp_id", (F.col("ordinal") * tuning.stride - F.col("p")).alias("delta"))
     votes = votes.groupBy("qid", "fp_id", "delta").agg(F.count(F.lit(1)).alias("hits"))
-    best = votes.groupBy("qid", "fp_id").agg(F.min(F.struct((-F.col("hits")).alias("n"), F.abs("delta").alias("a"), F.col("delta").alias("d"))).alias("b"))
-    best = best.select("qid", "fp_id", (-F.col("b.n")).alias("hits"), F.col("b.d").alias("delta")).where(F.col("hits") >= options.hits)
+    # most votes, then the smaller absolute offset, then the smaller one, as one number (28, 34 and 1 bits)
+    rank = F.shiftleft(F.lit((1 << 28) - 1) - F.col("hits"), 35) + F.shiftleft(F.abs("delta").cast("bigint"), 1) + (F.col("delta") > 0).cast("bigint")
+    best = votes.groupBy("qid", "fp_id").agg(F.min(rank).alias("b"))
+    away = F.shiftrightunsigned("b", 1).bitwiseAND(F.lit((1 << 34) - 1)).cast("int")
+    delta = F.when(F.col("b").bitwiseAND(F.lit(1)) == 1, away).otherwise(-away)
+    best = best.select("qid", "fp_id", (F.lit((1 << 28) - 1) - F.shiftrightunsigned("b", 35)).alias("hits"), delta.alias("delta")).where(F.col("hits") >= options.hits)
     order = Window.partitionBy("qid").orderBy(F.desc("hits"), F.abs("delta"), "delta", "fp_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= options.k)
 
