@@ -153,8 +153,9 @@ class Reader:
         except (UnicodeDecodeError, KeyError):
             return None
 
-    def readings(self, word: str) -> dict[str, str]:
-        """Cipher to what it makes of the word, ciphers that change nothing left out."""
+    def readings(self, word: str, log) -> dict[str, str]:
+        """Cipher to what it makes of the word, ciphers that change nothing left out. A cipher of several bytes a
+        letter is undone again as long as ``log`` finds the result more likely."""
         out, beyond = {}, set(_BEYOND.findall(word))
         for read, names in self.pages.items():
             whole = beyond <= _OF[read].keys()
@@ -163,9 +164,10 @@ class Reader:
                     continue
                 was, now = word, self.once(word, name)
                 for _ in range(DEPTH - 1 if name not in self.narrow else 0):
-                    if now is None or now == was:
+                    again = None if now is None or now == was else self.once(now, name)
+                    if again is None or again == now or log(again) <= log(now):
                         break
-                    was, now = now, self.once(now, name)
+                    was, now = now, again
                 now = was if now is None else now
                 if now != word and "�" not in now:
                     out[name] = now
@@ -201,7 +203,7 @@ def _bigrams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _posterior(word: str, reader: Reader, lm: Bigrams, weight) -> list[tuple[str | None, str, float]]:
-    readings = reader.readings(word)
+    readings = reader.readings(word, lm.log)
     score = {text: lm.log(text) for text in {word, *readings.values()}}
     found = [(None, word, score[word])]
     found += [(name, text, math.log(weight(name)) + score[text]) for name, text in readings.items()]
@@ -305,7 +307,7 @@ class Judge:
         if got is None:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            readings = self.reader.readings(word)
+            readings = self.reader.readings(word, self.lm.log)
             score = {text: self.lm.log(text) for text in {word, *readings.values()}}
             got = self.known[word] = [(n, t, score[t] - score[word]) for n, t in readings.items()]
         return got
