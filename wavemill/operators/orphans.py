@@ -7,6 +7,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavemill.sources.tables import materialise
+
 MATCHES = ("simple", "partial", "full")
 
 
@@ -84,7 +86,8 @@ def failed_references(refs: DataFrame, additions: DataFrame, deletions: DataFram
     """
     if match not in MATCHES:
         raise ValueError(f"match must be one of {MATCHES}")
-    refs = refs.distinct()
+    # read several times below, and far smaller than the tables it comes from
+    refs = materialise(refs.distinct(), "references")
     adds = additions.select(key, at).where(F.col(key).isNotNull())
     dels = deletions.select(key, at).where(F.col(key).isNotNull() & F.col(at).isNotNull()).distinct()
     full_mask = refs.where(F.col(key).isNotNull() & F.col(at).isNotNull())
