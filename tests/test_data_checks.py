@@ -7,6 +7,7 @@ import pytest
 from conftest import rows_of
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from wavemill.operators import heavy_keys, orphans
 
@@ -97,6 +98,13 @@ def test_failed_references(spark, refs, adds, dels, exempt):
     assert rows_of(got.select("k", "at", "kind")) == failing(refs, adds, dels, exempt)
 
 
+def test_clashing_columns(spark):
+    refs = spark.createDataFrame([(1, T0, "x", 5, "y"), (2, T0, "x", 6, "z")], "k long, at timestamp, kind string, _n int, value string")
+    adds = spark.createDataFrame([(1, T0, 1), (2, T0 + timedelta(hours=1), 2)], "k long, at timestamp, kind int")
+    got = orphans.failed_references(refs, adds, adds.where("k = 1").select("k", F.expr("at - interval 1 hour").alias("at")), adds.where("false"), "k", "at")
+    assert rows_of(got) == [(2, T0, 6, "z", "late")]
+
+
 def test_full_match_refuses_partly_null(spark):
     frame = lambda rows: spark.createDataFrame(rows, "k long, at timestamp")
     refs, adds = frame([(1, None), (None, T0), (None, None), (1, T0)]), frame([(1, T0)])

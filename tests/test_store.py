@@ -3,10 +3,11 @@ from pathlib import Path
 
 import pytest
 from conftest import rows_of
+from pyspark.sql import functions as F
 
 from wavemill import errors
 from wavemill.sources.fixtures import lcg_fingerprints, lcg_range
-from wavemill.sources.store import Dataset
+from wavemill.sources.store import Dataset, from_compressed
 from wavemill.streaming.ingest import arrivals_by_window, ingest
 from wavemill.tuning import BandTuning, PostingTuning, QueryOptions
 
@@ -143,6 +144,16 @@ def test_limits_of_records(spark, dataset):
         dataset.append_fingerprints(spark.createDataFrame([(1, 1, [])], big.schema))
 
 
+@pytest.mark.parametrize("packed", [False, True])
+def test_encoded_fingerprints(spark, packed):
+    from wavemill.functions import codec
+
+    fps = lcg_range(spark, 1, 5, 40)
+    encode = codec.encoded_packed if packed else codec.encoded
+    data = fps.select("fp_id", "duration_ms", encode("values").alias("data"), F.size("values").alias("raw_count"))
+    assert rows_of(from_compressed(data, packed)) == rows_of(fps)
+
+
 def test_stream_into_overflow(spark, dataset, tmp_path):
     source = str(tmp_path / "in")
     ids(spark, 70, 80, 10).write.parquet(source)

@@ -82,12 +82,13 @@ def failed_references(refs: DataFrame, additions: DataFrame, deletions: DataFram
     key is no reference, under ``full`` an orphan if it has a time. Keys in ``exempt`` always hold.
 
     ``kind``: 'missing' if the key was never added, 'late' if it was only added after the time, 'deleted' otherwise,
-    'incomplete' for what ``full`` refuses. Equal references are reported once.
+    'incomplete' for what ``full`` refuses. Equal references are reported once. A column ``kind`` that ``refs`` has
+    already is replaced.
     """
     if match not in MATCHES:
         raise ValueError(f"match must be one of {MATCHES}")
     # read several times below, and far smaller than the tables it comes from
-    refs = materialise(refs.distinct(), "references")
+    refs = materialise(refs.drop("kind").distinct(), "references")
     adds = additions.select(key, at).where(F.col(key).isNotNull())
     dels = deletions.select(key, at).where(F.col(key).isNotNull() & F.col(at).isNotNull()).distinct()
     full_mask = refs.where(F.col(key).isNotNull() & F.col(at).isNotNull())

@@ -42,17 +42,25 @@ def posting_stats(postings: DataFrame) -> DataFrame:
     return per.withColumn("avg_per_bucket", F.floor(F.coalesce(F.col("total_postings") / F.nullif(F.col("bucket_count"), F.lit(0)), F.lit(0))))
 
 
-def skip_directory(postings: DataFrame, tuning: PostingTuning = PostingTuning()) -> DataFrame:
-    """``(entry, hash)``: the first hash of every skip_interval-th bucket in order of the hash.
+def _ordered_hashes(postings: DataFrame) -> DataFrame:
+    """``(hash, rank, before)`` of every bucket: its rank from 0 in order of the hash, and the hash before it (0 for none).
 
-    Buckets are ranked inside ranges of the high hash bits, and the ranges' counts are added up first, so no single
-    task ranks all buckets.
+    Buckets are ranked inside ranges of the high hash bits, after the ranges' counts and last hashes are carried over
+    the ranges (at most 4096 of them), so no single task ranks all buckets.
     """
     hashes = postings.select("hash").distinct().withColumn("_range", F.shiftrightunsigned("hash", 20))
-    counts = hashes.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    ranked = hashes.join(before, "_range").withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy("hash")) - 1)
-    return ranked.where(F.col("_rank") % tuning.skip_interval == 0).select((F.col("_rank") / tuning.skip_interval).cast("bigint").alias("entry"), "hash")
+    ranges = hashes.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"), F.max("hash").alias("_last"))
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("_range", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_first"), F.coalesce(F.max("_last").over(upto), F.lit(0)).alias("_last"))
+    inside = Window.partitionBy("_range").orderBy("hash")
+    ranked = hashes.join(ranges, "_range")
+    return ranked.select("hash", (F.col("_first") + F.row_number().over(inside) - 1).alias("rank"), F.coalesce(F.lag("hash").over(inside), F.col("_last")).alias("before"))
+
+
+def skip_directory(postings: DataFrame, tuning: PostingTuning = PostingTuning()) -> DataFrame:
+    """``(entry, hash)``: the first hash of every skip_interval-th bucket in order of the hash."""
+    ranked = _ordered_hashes(postings).where(F.col("rank") % tuning.skip_interval == 0)
+    return ranked.select((F.col("rank") / tuning.skip_interval).cast("bigint").alias("entry"), "hash")
 
 
 def lookup_hash(postings: DataFrame, value: int | Column, tuning: PostingTuning = PostingTuning(), overflow: DataFrame | None = None) -> DataFrame:
@@ -64,9 +72,11 @@ def lookup_hash(postings: DataFrame, value: int | Column, tuning: PostingTuning
 
 
 def bucket_sizes(postings: DataFrame) -> DataFrame:
-    """``(hash, n_postings, n_bytes)``: what a bucket takes with variable-length numbers, without its hash: the count,
-    the differences of its sorted ids, and a byte for each ordinal."""
+    """``(hash, n_postings, n_bytes)``: what a bucket takes with variable-length numbers: the difference to the hash
+    before, the count, the differences of its sorted ids, and a byte for each ordinal."""
     order = Window.partitionBy("hash").orderBy("fp_id", "ordinal")
     deltas = postings.withColumn("d", F.col("fp_id") - F.coalesce(F.lag("fp_id").over(order), F.lit(0)))
     n = F.count(F.lit(1))
-    return deltas.groupBy("hash").agg(n.alias("n_postings"), (F.sum(varint_len(F.col("d"))) + n + varint_len(n)).cast("bigint").alias("n_bytes"))
+    sizes = deltas.groupBy("hash").agg(n.alias("n_postings"), (F.sum(varint_len(F.col("d"))) + n + varint_len(n)).cast("bigint").alias("_bytes"))
+    both = sizes.join(_ordered_hashes(postings), "hash")
+    return both.select("hash", "n_postings", (F.col("_bytes") + varint_len(F.col("hash") - F.col("before"))).alias("n_bytes"))

@@ -8,6 +8,10 @@ _INDEX = f"""idx AS (SELECT DISTINCT hash & {MASK} AS hash, fp_id, ordinal FROM
     WHERE hash IS NOT NULL AND fp_id IS NOT NULL AND ordinal IS NOT NULL)"""
 
 
+def _varint(x: str) -> str:
+    return f"CASE WHEN {x} < 128 THEN 1 WHEN {x} < 16384 THEN 2 WHEN {x} < 2097152 THEN 3 WHEN {x} < 268435456 THEN 4 ELSE 5 END"
+
+
 def _sampled(source: str, name: str) -> str:
     return f"""{name} AS (SELECT DISTINCT v & {MASK} AS hash, fp_id, (i / 8)::INT AS ordinal FROM (
     SELECT fp_id, unnest("values") AS v, unnest(range(len("values"))) AS i FROM {source} WHERE len("values") > 0)
@@ -79,7 +83,7 @@ x AS (SELECT k, unnest(x) AS d, unnest(range(len(x))) AS i FROM s), w AS (SELECT
 bw AS (SELECT k, blk, count(*) AS n, (list_sort(list(w)))[greatest(count(*) * 9 // 10, 1)] AS b FROM w GROUP BY ALL),
 ex AS (SELECT k, blk, count(*) AS n_over FROM w JOIN bw USING (k, blk) WHERE w > b GROUP BY ALL),
 pk AS (SELECT k, sum(2 + (n * b + 7) // 8 + 5 * coalesce(n_over, 0)) AS bytes FROM bw LEFT JOIN ex USING (k, blk) GROUP BY k),
-vi AS (SELECT k, sum(CASE WHEN d < 128 THEN 1 WHEN d < 16384 THEN 2 WHEN d < 2097152 THEN 3 WHEN d < 268435456 THEN 4 ELSE 5 END) AS bytes FROM x GROUP BY k),
+vi AS (SELECT k, sum({_varint('d')}) AS bytes FROM x GROUP BY k),
 sized AS (SELECT fp_id, added_at, len("values") AS n_values, list_sum("values") AS total, CASE WHEN len("values") = 0 THEN 0 ELSE 4 + coalesce(vi.bytes, 0) END AS varint_bytes,
     CASE WHEN len("values") = 0 THEN 0 ELSE 4 + coalesce(pk.bytes, 0) END AS packed_bytes FROM s LEFT JOIN vi USING (k) LEFT JOIN pk USING (k))"""
 _GRID = """n AS (SELECT count(*) AS n FROM fingerprints), g AS (SELECT bands, bits, bands * (1::BIGINT << bits) * 12 AS est_ram FROM range(1, 9) a(bands), range(4, 17) b(bits) WHERE bands * bits <= 32),
@@ -125,8 +129,9 @@ SELECT (k * 256 + ((v >> (8 * k)) & 255))::INT AS bucket, count(*) AS n_postings
     "posting_stats": f"WITH {_INDEX} SELECT count(DISTINCT hash) AS bucket_count, count(*) AS total_postings, (count(*) // count(DISTINCT hash))::BIGINT AS avg_per_bucket FROM idx",
     "posting_buckets": f"WITH {_INDEX} SELECT hash, count(*) AS n_postings FROM idx GROUP BY hash",
     "posting_bucket_sizes": f"""WITH {_INDEX}, d AS (SELECT hash, fp_id - coalesce(lag(fp_id) OVER (PARTITION BY hash ORDER BY fp_id, ordinal), 0) AS d FROM idx),
-v AS (SELECT hash, count(*) AS n, sum(CASE WHEN d < 128 THEN 1 WHEN d < 16384 THEN 2 WHEN d < 2097152 THEN 3 WHEN d < 268435456 THEN 4 ELSE 5 END) AS b FROM d GROUP BY hash)
-SELECT hash, n AS n_postings, (b + n + CASE WHEN n < 128 THEN 1 WHEN n < 16384 THEN 2 WHEN n < 2097152 THEN 3 WHEN n < 268435456 THEN 4 ELSE 5 END)::BIGINT AS n_bytes FROM v""",
+h AS (SELECT hash, hash - lag(hash, 1, 0) OVER (ORDER BY hash) AS g FROM (SELECT DISTINCT hash FROM idx)),
+v AS (SELECT hash, count(*) AS n, sum({_varint('d')}) AS b FROM d GROUP BY hash)
+SELECT hash, n AS n_postings, (b + n + {_varint('n')} + {_varint('g')})::BIGINT AS n_bytes FROM v JOIN h USING (hash)""",
     "skip_directory": f"WITH {_INDEX}, r AS (SELECT hash, row_number() OVER (ORDER BY hash) - 1 AS r FROM (SELECT DISTINCT hash FROM idx)) SELECT (r // 64)::BIGINT AS entry, hash FROM r WHERE r % 64 = 0",
     "extract_bands": f"WITH {_QBANDS} SELECT qid, p AS pos, k AS band, bv AS band_value FROM qb",
     "band_directory": """WITH v AS (SELECT unnest("values") AS v FROM fingerprints WHERE len("values") > 0)

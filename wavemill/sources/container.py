@@ -18,6 +18,7 @@ import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -383,7 +384,10 @@ def write_container(df: DataFrame, path: str, kind: str, family: str, *, packed:
         df = df.select("fp_id", "mbid", "track_id", encode_metadata("metadata").alias("text"))
     keys = {"D": ["fp_id"], "M": ["fp_id"], "X": ["bucket"], "I": ["hash"]}[kind]
     order = {"D": ["fp_id"], "M": ["fp_id"], "X": ["bucket", "fp_id", "pos"], "I": ["hash", "fp_id", "ordinal"]}[kind]
-    folder = f"{scratch_root(df.sparkSession).removeprefix('file:').rstrip('/').replace('//', '/')}/wavemill/container-{uuid.uuid4().hex}"
+    root = urlparse(scratch_root(df.sparkSession))
+    if root.scheme not in ("", "file"):
+        raise OffsetOutOfBounds("containers are written through a mounted scratch folder")
+    folder = f"{root.path.rstrip('/')}/wavemill/container-{uuid.uuid4().hex}"
     os.makedirs(folder)
     encode, flag = _ENCODE[kind], texts if kind == "M" else packed
 

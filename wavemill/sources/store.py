@@ -8,6 +8,7 @@ more are left for ``vacuum``.
 from __future__ import annotations
 
 import json
+import logging
 import time
 import uuid
 from collections.abc import Iterable
@@ -17,16 +18,25 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.errors import CorruptOverflow, DatasetMismatch, NoDataStore, NoIndex, NoPostingIndex, NoSearchIndex, OffsetOutOfBounds, RecordNotFound, UnknownFlags, UnsupportedVersion
+from wavemill.functions import codec
 from wavemill.operators import bands, overlay, postings, search, stats
 from wavemill.schema import TABLES
 from wavemill.tuning import MAX_VALUES, BandTuning, HitOptions, PostingTuning, QueryOptions
 
+log = logging.getLogger("wavemill")
+
 VERSION = 0
 FIELDS = {"version", "dataset_id", "created_at", "source_date", "tables", "band_tuning", "posting_tuning", "include_text"}
 #: Order in which each table is laid out; a range of it is a file, so a lookup prunes to some files and row groups.
 LAYOUT = {"fingerprints": ["fp_id"], "mappings": ["fp_id"], "band_postings": ["bucket", "fp_id", "pos"], "sampled_postings": ["hash", "fp_id", "ordinal"]}
 
 
+def from_compressed(rows: DataFrame, packed: bool = False) -> DataFrame:
+    """Fingerprints of encoded ones ``(fp_id, duration_ms, data, raw_count)``, to be stored like any others."""
+    decode = codec.decoded_packed if packed else codec.decoded
+    return rows.select("fp_id", "duration_ms", decode("data", "raw_count").alias("values"))
+
+
 class _Files:
     """Small files on whatever file system the path names."""
 
@@ -147,10 +157,12 @@ class Dataset:
         keys = LAYOUT[name]
         rows.select(*columns, *extra).repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(f"{self.path}/{folder}")
         self.files.write(f"{folder}.json", json.dumps({"dataset_id": self.manifest["dataset_id"]}))
+        log.info("wrote %s", folder)
         return folder
 
     def _publish(self) -> None:
         self.files.write("manifest.json", json.dumps(self.manifest, indent=1))
+        log.info("published %s", self.path)
 
     def vacuum(self) -> None:
         """Remove folders that the manifest doesn't name; only when no older reader is at work."""
