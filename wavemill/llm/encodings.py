@@ -34,7 +34,7 @@ BACKED = 500.0
 #: Rounds of expectation-maximization.
 ROUNDS = 2
 #: Prior odds of a cipher in a source before anything is learned, and the log odds a document needs to be reported.
-PRIOR, ENOUGH = 1e-4, -1.0
+PRIOR, ENOUGH = 1e-4, -2.6
 #: Shares of a document's words that may be garbled, tried in turn.
 PARTS = (0.02, 0.07, 0.25, 0.8)
 #: Rounds of the same or another cipher, one over the other, that are undone.
@@ -49,6 +49,11 @@ FIRST_CLASS, RARE = 0xE000, math.log(1000)
 
 _SPACES = re.compile(r"[ \t\r\n]+")
 _BEYOND = re.compile(r"[^\x00-\x7f]")
+#: Only words with one of these are weighed: a no-break space alone tells nothing.
+_SUSPECT = re.compile(r"[^\x00-\x7f\xa0]")
+#: What no true text has, and what a Japanese one has.
+_NO_TEXT = re.compile("[\x80-\x9f\ufffd]")
+_JAPANESE = re.compile("[\u3041-\u30ff\u4e00-\u9fff]")
 
 
 def _page(name: str) -> dict[str, int]:
@@ -154,7 +159,7 @@ class Reader:
             return None
 
     def readings(self, word: str, log) -> dict[str, str]:
-        """Cipher to what it makes of the word, ciphers that change nothing left out. A cipher of several bytes a
+        """Cipher to what it makes of the word, ciphers that change nothing or make no text left out. A cipher of several bytes a
         letter is undone again as long as ``log`` finds the result more likely."""
         out, beyond = {}, set(_BEYOND.findall(word))
         for read, names in self.pages.items():
@@ -169,7 +174,7 @@ class Reader:
                         break
                     was, now = now, again
                 now = was if now is None else now
-                if now != word and "�" not in now:
+                if now != word and not _NO_TEXT.search(now) and (name in self.narrow or name in self.patterns or _JAPANESE.search(now)):
                     out[name] = now
         return out
 
@@ -181,7 +186,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for word, n in Counter(_SPACES.split(text)).items():
                 if word:
                     for k in range(0, len(word), 64):  # long unbroken strings count in pieces
-                        counts[group if _BEYOND.search(word) else -1, word[k : k + 64]] += n
+                        counts[group if _SUSPECT.search(word) else -1, word[k : k + 64]] += n
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in counts], pa.int32()), pa.array([w for _, w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["grp", "word", "n"])
 
@@ -314,7 +319,7 @@ class Judge:
 
     def judge(self, text: str, group: int) -> tuple[str | None, float, str]:
         """The cipher or None, its log odds, and the text restored."""
-        suspects = [w for w in _SPACES.split(text) if _BEYOND.search(w)]
+        suspects = [w for w in _SPACES.split(text) if _SUSPECT.search(w)]
         if not suspects:
             return None, 0.0, text
         by: dict[str, list[float]] = defaultdict(list)
