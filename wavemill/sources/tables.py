@@ -34,3 +34,20 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_root(spark).rstrip('/')}/wavemill/{label}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes that one partition of a shuffle should hold.
+PARTITION_BYTES = 64 << 20
+
+
+def partitions_for(df: DataFrame, growth: float) -> int:
+    """Partitions for a shuffle of ``growth`` times the bytes of the tables under ``df``, at least the session's number.
+
+    Only what Spark knows of its input files counts; inputs of unknown size leave the session's number.
+    """
+    known = 0
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    while leaves.hasNext():
+        size = int(leaves.next().stats().sizeInBytes().toString())
+        known += size if size < 1 << 60 else 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(known * growth / PARTITION_BYTES) + 1)
