@@ -14,4 +14,4 @@ def test_partitions_follow_the_input(spark, tmp_path, monkeypatch):
 def test_scratch_is_the_shared_folder(spark):
     assert tables.scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
     df = tables.materialise(spark.range(5).toDF("x"), "test")
-    assert df.count() == 5 and df.inputFiles()[0].startswith("file:" + tables.scratch_root(spark))
+    assert df.count() == 5 and tables.scratch_root(spark) in df.inputFiles()[0]

@@ -48,6 +48,6 @@ def partitions_for(df: DataFrame, growth: float) -> int:
     known = 0
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
     while leaves.hasNext():
-        size = int(leaves.next().stats().sizeInBytes().toString())
+        size = int(str(leaves.next().stats().sizeInBytes()))
         known += size if size < 1 << 60 else 0
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(known * growth / PARTITION_BYTES) + 1)
