@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from wavemill.functions.bits import bit_errors, class_name, classify, overlap, quantized
 from wavemill.operators.bands import exploded_bands
-from wavemill.operators.overlay import lookup, one_per_key
 from wavemill.schema import METADATA
 from wavemill.tuning import BandTuning, HitOptions, PostingTuning, QueryOptions
 
@@ -72,19 +71,34 @@ def band_candidates(queries: DataFrame, postings: DataFrame, tuning: BandTuning
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= options.candidates).drop("rank")
 
 
+def _either(main: DataFrame, overflow: DataFrame | None, columns: list[str], ties: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of both tables with ``_order``, by which the current one of an id is the greatest: overflow before main,
+    then the latest (if ``added_at`` is there), then by ``ties`` and a hash of the row."""
+
+    def marked(df: DataFrame, late: int) -> DataFrame:
+        at = F.col("added_at") if "added_at" in df.columns else F.lit(None).cast("timestamp")
+        return df.select("fp_id", *columns, F.struct(F.lit(late).alias("late"), at.alias("at"), *ties, F.xxhash64(*columns).alias("hash")).alias("_order"))
+
+    return marked(main, 0) if overflow is None else marked(main, 0).unionByName(marked(overflow, 1))
+
+
 def verified(candidates: DataFrame, queries: DataFrame, fingerprints: DataFrame, overflow: DataFrame | None = None) -> DataFrame:
     """``candidates`` (qid, fp_id, offset, ...) with ``bits`` compared and ``errors`` found at their offset.
 
-    Only fingerprints of candidates are fetched, one row for each id, the overflow's before the main table's;
-    candidates without a fingerprint drop out, as do those without an overlap.
+    Candidates meet all rows of their id, and the current one is kept after the comparison: so ``candidates`` is
+    computed once, and neither fingerprints nor their values are shuffled while candidates are few. Candidates without
+    a fingerprint drop out, as do those without an overlap.
     """
-    keep = ["fp_id", "values", *[c for c in ("added_at",) if c in fingerprints.columns]]
-    newest = ["added_at"] if "added_at" in keep else None
-    later = overflow.select(*keep) if overflow is not None else None
-    found = one_per_key(lookup(fingerprints.select(*keep), later, candidates), "fp_id", newest)
-    both = candidates.join(found.select("fp_id", F.col("values").alias("_c")), "fp_id").join(queries.select("qid", F.col("values").alias("_q")), "qid")
-    both = both.withColumn("bits", (overlap(F.col("_c"), F.col("_q"), F.col("offset")) * 32).cast("bigint")).where("bits > 0")
-    return both.withColumn("errors", bit_errors(F.col("_c"), F.col("_q"), F.col("offset"))).drop("_c", "_q")
+    both = candidates.join(_either(fingerprints, overflow, ["values"]).withColumnRenamed("values", "_c"), "fp_id")
+    both = both.join(queries.select("qid", F.col("values").alias("_q")), "qid")
+    both = both.withColumn("bits", (overlap(F.col("_c"), F.col("_q"), F.col("offset")) * 32).cast("bigint"))
+    both = both.withColumn("errors", bit_errors(F.col("_c"), F.col("_q"), F.col("offset"))).drop("_c", "_q")
+    return _current(both).where("bits > 0")
+
+
+def _current(rows: DataFrame) -> DataFrame:
+    newest = Window.partitionBy("qid", "fp_id").orderBy(F.desc("_order"))
+    return rows.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n", "_order")
 
 
 def band_query(queries: DataFrame, postings: DataFrame, fingerprints: DataFrame, *, tuning: BandTuning = BandTuning(), options: QueryOptions = QueryOptions(), mappings: DataFrame | None = None, overflow_postings: DataFrame | None = None, overflow_fingerprints: DataFrame | None = None, overflow_mappings: DataFrame | None = None) -> DataFrame:
@@ -103,11 +117,8 @@ def band_query(queries: DataFrame, postings: DataFrame, fingerprints: DataFrame,
     out = found.select("qid", "fp_id", "ber", "score", class_name(F.col("score")).alias("score_name"), "matches", "offset", "rank")
     if mappings is None or not options.include_metadata:
         return out
-    keep = [c for c in ("fp_id", "mbid", "track_id", "metadata", "added_at") if c in mappings.columns]
-    later = overflow_mappings.select(*keep) if overflow_mappings is not None else None
-    known = lookup(mappings.select(*keep), later, out)
-    order = [c for c in ("added_at", "mbid", "track_id") if c in keep]
-    return out.join(one_per_key(known, "fp_id", order).drop("added_at"), "fp_id", "left")
+    columns = [c for c in ("mbid", "track_id", "metadata") if c in mappings.columns]
+    return _current(out.join(_either(mappings, overflow_mappings, columns, tuple(c for c in ("mbid", "track_id") if c in columns)), "fp_id", "left")).select(*out.columns, *columns)
 
 
 def full_query(queries: DataFrame, postings: DataFrame, *, tuning: PostingTuning = PostingTuning(), options: HitOptions = HitOptions(), overflow: DataFrame | None = None) -> DataFrame:
