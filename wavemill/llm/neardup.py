@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavemill.llm.spans import mixed
-from wavemill.sources.tables import materialise
+from wavemill.sources.tables import materialise, partitions_for
 
 #: Registers of a sketch, registers of a band, and the base by which the register values are spaced. Two sets of
 #: similarity 0.5 agree in none of the 32 bands once in 10,000 times, unrelated ones in any once in 10 ** 8 times.
@@ -167,7 +167,7 @@ class NearDuplicates:
         rows = self.classes.select("rep", "least", "most", F.posexplode(F.array(*bands)).alias("band", "key"))
         out, depth = None, 0
         while True:
-            rows = rows.withColumn("among", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("among > 1")
+            rows = rows.repartition(partitions_for(self.rows, 1.0), "key").withColumn("among", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("among > 1")
             rows = materialise(rows, "buckets")
             last = depth == 3
             found = self._pairs_in_buckets(rows if last else rows.where(F.col("among") <= BUCKET))

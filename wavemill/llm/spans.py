@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wavemill.sources.tables import partitions_for
+
 #: Base of the rolling hash and its inverse, modulo 2 ** 64 (odd, so that an inverse exists).
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -97,7 +99,8 @@ def shared_windows(df: DataFrame, id_col: str, values_col: str, width: int) -> D
     windows = rows.mapInArrow(_windows(width, arrow), out)
     key = F.when(F.col("flag") == 2, F.xxhash64("id", "pos")).otherwise(F.col("h"))
     same = Window.partitionBy("k")
-    met = windows.withColumn("k", key).withColumn("low", F.min("id").over(same)).withColumn("high", F.max("id").over(same)).withColumn("told", F.max("flag").over(same))
+    # a window's row takes some three times the bytes of the value that it begins with
+    met = windows.withColumn("k", key).repartition(partitions_for(df, 3.0), "k").withColumn("low", F.min("id").over(same)).withColumn("high", F.max("id").over(same)).withColumn("told", F.max("flag").over(same))
     kept = met.where((F.col("flag") == 2) | ((F.col("flag") == 0) & ((F.col("low") != F.col("high")) | (F.col("told") > 0))))
     return kept.select("id", F.col("pos").alias("start_pos"), F.when(F.col("flag") == 2, F.col("h").cast("int")).otherwise(F.col("pos") + width).alias("end_pos"))
 
