@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -25,12 +26,17 @@ def scratch_root(spark: SparkSession) -> str:
     return given
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, release: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet to the shared scratch folder and read it back.
 
     It cuts the lineage: the parts survive the loss of any executor, and several readers don't run the plan again.
+    Spark deletes shuffle files only when the driver has collected what made them; with ``release`` that is done
+    first, so that the steps before this one hold no disk while it runs.
     """
     spark = df.sparkSession
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     path = f"{scratch_root(spark).rstrip('/')}/wavemill/{label}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
