@@ -156,16 +156,14 @@ class NearDuplicates:
         return F.abs(a - b) <= F.lit(self.tolerance) * F.greatest(a, b)
 
     def _pairs_in_buckets(self, rows: DataFrame) -> DataFrame:
-        a, b = (rows.select("key", F.col("rep").alias(x), F.col("least").alias(f"least_{x}"), F.col("most").alias(f"most_{x}")) for x in "ab")
-        apart = F.greatest(F.col("least_a") - F.col("most_b"), F.col("least_b") - F.col("most_a"), F.lit(0))
-        near = (F.col("a") < F.col("b")) & (apart <= F.lit(self.tolerance) * F.greatest("most_a", "most_b"))
-        return a.join(b, "key").where(near).select("a", "b")
+        a, b = (rows.select("key", F.col("rep").alias(x)) for x in "ab")
+        return a.join(b, "key").where(F.col("a") < F.col("b")).select("a", "b")
 
     def candidates(self) -> DataFrame:
         """Distinct pairs ``(a, b)`` of class representatives that share a bucket, a < b."""
         bands = [F.xxhash64(F.lit(k), *(F.col("sketch")[i] for i in range(k, k + BAND))) for k in range(0, REGISTERS, BAND)]
-        rows = self.classes.select("rep", "least", "most", F.posexplode(F.array(*bands)).alias("band", "key"))
-        out, depth = None, 0
+        rows = self.classes.select("rep", F.posexplode(F.array(*bands)).alias("band", "key"))
+        out, depth, pool = None, 0, self.classes.select("rep", "sketch")
         while True:
             rows = rows.repartition(partitions_for(self.rows, 1.0), "key").withColumn("among", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("among > 1")
             rows = materialise(rows, "buckets")
@@ -178,19 +176,24 @@ class NearDuplicates:
             depth += 1
             # each member goes on by 8 registers outside its band: a pair of similarity 0.5 meets again 255 times of 256
             more = [F.xxhash64("key", F.lit(t), F.expr(f"sketch[(band * {BAND} + {BAND} + {8 * (depth - 1) + t}) % {REGISTERS}]")) for t in range(8)]
-            rows = full.select("rep", "least", "most", "band", "key").join(self.classes.select("rep", "sketch"), "rep")
-            rows = rows.select("rep", "least", "most", "band", F.explode(F.array(*more)).alias("key")).distinct()
+            # only sketches of members of full buckets are needed from here on
+            pool = materialise(pool.join(full.select("rep").distinct(), "rep", "left_semi"), "pool")
+            rows = full.select("rep", "band", "key").join(pool, "rep")
+            rows = rows.select("rep", "band", F.explode(F.array(*more)).alias("key")).distinct()
 
     def class_pairs(self) -> DataFrame:
         """Pairs ``(a, b)`` of class representatives with a similarity of at least the threshold, verified on the sets."""
         pair = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-        light = self.classes.select("rep", "n", "sketch")
-        a, b = (light.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-        likely = self.candidates().join(a, "a").join(b, "b").mapInArrow(_estimates(self.similarity), pair)
-        likely = materialise(likely, "likely")
+        light = self.classes.select("rep", "n", "sketch", "least", "most")
+        a, b = (light.select(F.col("rep").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "sketch", "least", "most"))) for x in "ab")
+        # no members of the two classes can be near in size if the classes' ranges are too far apart
+        apart = F.greatest(F.col("least_a") - F.col("most_b"), F.col("least_b") - F.col("most_a"), F.lit(0))
+        near = self.candidates().join(a, "a").join(b, "b").where(apart <= F.lit(self.tolerance) * F.greatest("most_a", "most_b"))
+        likely = near.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_estimates(self.similarity), pair)
+        likely = materialise(likely, "likely", release=True)
         wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         sets = self.rows.select("id", "values").join(wanted, "id", "left_semi").groupBy("id").agg(F.first("values").alias("values"))
-        sets = materialise(sets, "sets")
+        sets = materialise(sets, "sets", release=True)
         a, b = (sets.select(F.col("id").alias(x), F.col("values").alias(f"values_{x}")) for x in "ab")
         return likely.join(a, "a").join(b, "b").mapInArrow(_verified(self.similarity), pair)
 
