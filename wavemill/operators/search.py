@@ -133,13 +133,14 @@ def full_query(queries: DataFrame, postings: DataFrame, *, tuning: PostingTuning
     q = queries.select("qid", F.posexplode("values").alias("p", "v")).where(F.col("v").isNotNull())
     q = q.select("qid", "p", quantized("v", tuning.qbits).alias("hash"))
     votes = _met(q, all_, ["hash"], _values(queries)).select("qid", "fp_id", (F.col("ordinal") * tuning.stride - F.col("p")).alias("delta"))
-    votes = votes.groupBy("qid", "fp_id", "delta").agg(F.count(F.lit(1)).alias("hits"))
+    # an offset short of the votes can't be its fingerprint's answer, so it goes before the best one is sought
+    votes = votes.groupBy("qid", "fp_id", "delta").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= options.hits)
     # most votes, then the smaller absolute offset, then the smaller one, as one number (28, 34 and 1 bits)
     rank = F.shiftleft(F.lit((1 << 28) - 1) - F.col("hits"), 35) + F.shiftleft(F.abs("delta").cast("bigint"), 1) + (F.col("delta") > 0).cast("bigint")
     best = votes.groupBy("qid", "fp_id").agg(F.min(rank).alias("b"))
     away = F.shiftrightunsigned("b", 1).bitwiseAND(F.lit((1 << 34) - 1)).cast("int")
     delta = F.when(F.col("b").bitwiseAND(F.lit(1)) == 1, away).otherwise(-away)
-    best = best.select("qid", "fp_id", (F.lit((1 << 28) - 1) - F.shiftrightunsigned("b", 35)).alias("hits"), delta.alias("delta")).where(F.col("hits") >= options.hits)
+    best = best.select("qid", "fp_id", (F.lit((1 << 28) - 1) - F.shiftrightunsigned("b", 35)).alias("hits"), delta.alias("delta"))
     order = Window.partitionBy("qid").orderBy(F.desc("hits"), F.abs("delta"), "delta", "fp_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= options.k)
 
