@@ -100,7 +100,7 @@ SQL = {
     "query_full_overflow": _full(_INDEX + ", " + _sampled("fingerprints_overflow", "ovf"), "SELECT * FROM idx UNION ALL SELECT * FROM ovf") + "SELECT * FROM full_",
     "query_full_verified": _full(_INDEX, "SELECT * FROM idx") + f", {_ONE}, {_verify('s.delta', 'full_')} SELECT qid, fp_id, hits, delta, rank, ber, score::BIGINT AS score FROM b",
     "band_search_counts": _candidates() + "SELECT qid, sum(matches)::BIGINT AS n_matches, count(*) AS n_fps FROM met GROUP BY qid",
-    "band_candidates": _candidates() + "SELECT qid, fp_id, matches, qpos, pos FROM cand",
+    "band_candidates": _candidates() + "SELECT qid, fp_id, matches, qpos, pos::BIGINT AS pos FROM cand",
     "band_query": _BAND + _ALL,
     "band_query_options": _band_query(_candidates(least="10", k=20), rate="0.2") + _ALL,
     "band_query_metadata": _BAND + f""", {_MAPPED}, m1 AS (SELECT fp_id, mbid, track_id, metadata.title AS title FROM every_map WHERE fp_id IS NOT NULL
