@@ -64,6 +64,8 @@ class Merges:
                 self.parts[whole], self.rank[whole] = (left, right), r
         #: No token is longer, so text to come can't reach further back: the lookahead after which a token can be final.
         self.lookahead = max(map(len, self.ids))
+        #: Every ending of a token: what isn't one, no longer token ends with.
+        self.tails = {b[k:] for b in self.ids for k in range(len(b))}
         self._neighbours: dict[tuple[int, int], bool] = {}
 
     def fit(self, left: int, right: int) -> bool:
@@ -99,9 +101,14 @@ class Transducer:
 
     def _step(self, end: int) -> None:
         m, tail = self.m, self.tail
-        for start in range(max(0, end - m.lookahead), end):
-            token = m.ids.get(tail[start:end])
-            if token is not None and self.last[start] is not None and (self.last[start] < 0 or m.fit(self.last[start], token)):
+        starts, start = [], end - 1
+        while start >= 0 and (piece := tail[start:end]) in m.tails:
+            if piece in m.ids:
+                starts.append(start)
+            start -= 1
+        for start in reversed(starts):
+            token = m.ids[tail[start:end]]
+            if self.last[start] < 0 or m.fit(self.last[start], token):
                 self.last.append(token)
                 self.before.append(start)
                 return
