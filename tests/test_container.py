@@ -12,6 +12,7 @@ from wavemill.functions import codec
 from wavemill.operators import bands, postings
 from wavemill.sources import container as c
 from wavemill.sources.fixtures import lcg_range
+from wavemill.sources.store import Dataset
 from wavemill.tuning import BandTuning, PostingTuning
 
 FAMILY = "TEST"
@@ -63,7 +64,8 @@ def test_mappings(spark, tmp_path):
 def with_overflow(path):
     """Append an overflow of two fingerprints by hand, as the layout describes it."""
     data = open(path, "rb").read()[: -c.FOOTER.size]
-    blobs = [codec.compress([1, 2, 3]), codec.compress([9])]
+    encode = codec.compress_packed if data[12] & 1 else codec.compress
+    blobs = [encode([1, 2, 3]), encode([9])]
     table = b"".join(struct.pack("<IIHHIHH", i, at, 0, len(b), 10 * i, n, 0) for i, at, b, n in ((3, 0, blobs[0], 3), (70, len(blobs[0]), blobs[1], 1)))
     head = c.OVERFLOW.pack(c.magic(FAMILY, "D", "O"), 2, c.OVERFLOW.size + len(table))
     open(path, "wb").write(data + head + table + b"".join(blobs) + c.FOOTER.pack(len(data), c.magic(FAMILY, "D", "F")))
@@ -78,6 +80,25 @@ def test_overflow(spark, tmp_path):
     assert got.count() == 7
 
 
+def test_dataset_out_and_in(spark, tmp_path):
+    fps = lcg_range(spark, 1, 12, 64)
+    meta = spark.createDataFrame([(3, str(uuid.UUID(int=9)), 4, ("T", "", "", ""))], "fp_id long, mbid string, track_id long, metadata struct<title:string,artist:string,release:string,year:string>")
+    ds = Dataset.create(spark, str(tmp_path / "ds"), fingerprints=fps, mappings=meta, band_tuning=BandTuning(2, 16), posting_tuning=PostingTuning(8, 4, 5))
+    files = {k: str(tmp_path / k) for k in "DXIM"}
+    c.export_dataset(ds, files, FAMILY, packed=True)
+    with_overflow(files["D"])
+    again = c.import_dataset(spark, files, FAMILY, str(tmp_path / "again"))
+    assert again.manifest["dataset_id"] == ds.manifest["dataset_id"] and (again.band_tuning, again.posting_tuning) == (ds.band_tuning, ds.posting_tuning)
+    q = fps.where("fp_id = 5").selectExpr("1L as qid", "values")
+    assert [tuple(r) for r in again.query_full(q).collect()] == [tuple(r) for r in ds.query_full(q).collect()]
+    assert again.lookup_metadata(3).metadata.title == "T" and again.lookup(3)["values"] == [1, 2, 3] and again.fingerprints().count() == 13
+    with pytest.raises(errors.CorruptOverflow):
+        c.export_dataset(again, {"D": str(tmp_path / "no")}, FAMILY)
+    c.write_container(fps, files["I"], "I", FAMILY)
+    with pytest.raises(errors.DatasetMismatch):
+        c.import_dataset(spark, files, FAMILY, str(tmp_path / "other"))
+
+
 def test_broken_files(spark, tmp_path):
     path = str(tmp_path / "a")
     c.write_container(lcg_range(spark, 1, 5, 10), path, "D", FAMILY)

@@ -17,7 +17,7 @@ import struct
 import time
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from urllib.parse import urlparse
 
 import numpy as np
@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from wavemill.errors import BadMagic, CorruptOverflow, InvalidCompression, InvalidTuning, OffsetOutOfBounds, UnknownFlags, UnsupportedVersion
+from wavemill.errors import BadMagic, CorruptOverflow, DatasetMismatch, InvalidCompression, InvalidTuning, OffsetOutOfBounds, UnknownFlags, UnsupportedVersion
 from wavemill.functions import codec
 from wavemill.operators import bands, postings
 from wavemill.schema import BAND_POSTINGS, FINGERPRINTS, MAPPINGS, SAMPLED_POSTINGS, U32
+from wavemill.sources.store import VERSION, Dataset
 from wavemill.sources.tables import scratch_root
 from wavemill.tuning import BandTuning, PostingTuning
 
@@ -469,3 +470,38 @@ def write_container(df: DataFrame, path: str, kind: str, family: str, *, packed:
             f.write(skip.tobytes())
     os.replace(beside, path)
     shutil.rmtree(folder)
+
+
+KINDS = {"D": "fingerprints", "X": "band_postings", "I": "sampled_postings", "M": "mappings"}
+
+
+def import_dataset(spark: SparkSession, files: dict[str, str], family: str, path: str) -> Dataset:
+    """A dataset at ``path`` from container files, ``files`` by kind; their overflows become its overflows.
+
+    All files must be of one dataset. Tunings and the source date are those of the files.
+    """
+    headers = {kind: read_header(file, kind, family) for kind, file in files.items()}
+    ids = {h.dataset_id for h in headers.values()}
+    if len(ids) != 1:
+        raise DatasetMismatch(", ".join(sorted(str(uuid.UUID(bytes=i)) for i in ids)))
+    tuning = {kind: asdict(h.tuning) if h.tuning else None for kind, h in headers.items()}
+    any_header = next(iter(headers.values()))
+    texts = bool(headers["M"].flags & TEXTS) if "M" in headers else True
+    manifest = {"version": VERSION, "dataset_id": str(uuid.UUID(bytes=any_header.dataset_id)), "created_at": any_header.created_at, "source_date": any_header.source_date, "tables": {}, "band_tuning": tuning.get("X"), "posting_tuning": tuning.get("I"), "include_text": texts}
+    ds = Dataset(spark, path, manifest)
+    for kind, file in files.items():
+        rows = read_container(spark, file, kind, family)
+        main, later = (rows.where(late).drop("from_overflow") for late in ("not from_overflow", "from_overflow"))
+        manifest["tables"][KINDS[kind]] = {"main": ds._write(KINDS[kind], main), "overflow": ds._write(KINDS[kind], later) if headers[kind].overflow else None}
+    ds._publish()
+    return Dataset.open(spark, path)
+
+
+def export_dataset(ds: Dataset, files: dict[str, str], family: str, *, packed: bool = False) -> None:
+    """The main tables of a dataset as container files of its id, ``files`` by kind. An overflow has to be compacted
+    into them first."""
+    for kind, file in files.items():
+        if ds._overflow(KINDS[kind]) is not None:
+            raise CorruptOverflow(f"compact {KINDS[kind]} first")
+        tuning = ds.band_tuning if kind == "X" else ds.posting_tuning if kind == "I" else None
+        write_container(ds._main(KINDS[kind]), file, kind, family, packed=packed, texts=ds.manifest["include_text"], tuning=tuning, dataset_id=uuid.UUID(ds.manifest["dataset_id"]), source_date=ds.manifest["source_date"] or 0)
