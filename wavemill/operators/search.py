@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from wavemill.functions.bits import bit_errors, class_name, classify, overlap, quantized
 from wavemill.operators.bands import exploded_bands
-from wavemill.schema import METADATA
 from wavemill.tuning import BandTuning, HitOptions, PostingTuning, QueryOptions
 
 
@@ -150,8 +149,3 @@ def verified_hits(hits: DataFrame, queries: DataFrame, fingerprints: DataFrame,
     found = verified(hits.withColumnRenamed("delta", "offset"), queries, fingerprints, overflow)
     ber = F.col("errors") / F.col("bits")
     return found.select("qid", "fp_id", "hits", F.col("offset").alias("delta"), "rank", ber.alias("ber"), classify(ber).alias("score"))
-
-
-def without_metadata(matches: DataFrame) -> DataFrame:
-    """Matches in the shape of a query with metadata, all of it null."""
-    return matches.withColumn("mbid", F.lit(None).cast("string")).withColumn("track_id", F.lit(None).cast("bigint")).withColumn("metadata", F.lit(None).cast(METADATA))
