@@ -202,3 +202,19 @@ def test_encodings_of_nothing(spark):
     assert encodings.garbled(df).count() == 0 and encodings.garbled(df.where("false")).count() == 0
     plain = spark.createDataFrame([(1, "only ascii"), (2, "x" * 100_000)], "doc_id long, text string")
     assert encodings.garbled(plain, source_col=None).count() == 0
+
+
+def test_letters_are_learned_by_source(spark):
+    """A page that isn't listed: cp1251 with a letter at another byte. Only one source is garbled so."""
+    r, parts = random.Random(3), "про сто ка пе ре мо жет ник тан ция ска зать бы лет ми ну та ве ли чи на дол жен ста рый мя со зна ет вы бор ля ет гор дом".split()
+    words = ["".join(r.choices(parts, k=r.randrange(2, 5))) for _ in range(3000)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(8, 20))) for _ in range(12000)]
+    wrong = lambda t: t.replace("т", "ў").encode("cp1251").decode("mac-roman")
+    rows = [(i, wrong(t) if i % 150 == 0 else t, "odd" if i % 2 == 0 else "even") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    model = encodings.learn(df)
+    (own,) = model.tables.values()
+    assert own == {"mac-roman>cp1251*": {wrong("т"): "т"}}
+    got = {x.id: x.restored for x in encodings.garbled(df, model=model).collect()}
+    assert set(got) == {i for i in range(len(texts)) if i % 150 == 0}
+    assert sum(texts[i] == t for i, t in got.items()) >= 0.95 * len(got)

@@ -4,7 +4,10 @@ Each wrong pair of encodings is a cipher from true text to garbled text. Which c
 each byte stands for under them, is learned by expectation-maximization against a bigram model of letters, itself
 learned from the corpus: the E-step weighs, for every word with letters beyond ASCII, its readings under all ciphers;
 the M-step re-estimates the ciphers' weights for each source, the letter behind each byte, and the bigrams of the words
-as read. The learned tables are applied with ``translate``; ciphers of several bytes a letter are read by their bytes.
+as read. The letters start from the pages: at each byte the E-step weighs, beside the letter of the page, every letter
+that its neighbours allow. Where others win in a source, the source gets a cipher of its own (named with ``*``), whose
+letters the next round starts from. Tables are applied with ``translate``; ciphers of several bytes a letter are read by
+their bytes and have no letters to learn.
 """
 
 from __future__ import annotations
@@ -31,8 +34,18 @@ WIDE = ("utf-8", "shift_jis", "euc_jp")
 GROUPS = 1024
 #: Words' worth of belief that the weights of the whole corpus have in each source group.
 BACKED = 500.0
-#: Rounds of expectation-maximization.
+#: Share of a cipher's bytes that may stand for another letter than its table says, and how many letters share it.
+ODD, LETTERS = 5e-2, 128
+#: Different words' worth of belief that a table has in each of its letters; how likely a cipher must be for a word to
+#: count for its letters (many clean words that are a little likely under a cipher would add up to wrong ones).
+LETTER_BACKED, SURE = 5.0, 0.5
+#: How many times likelier than any other a letter must be to replace that of the table.
+CLEAR = 2.0
+#: How many times more of a source's letters must be those that the table has already than others, for a cipher of its own.
+PAGES_KEPT = 3.0
+#: Rounds of expectation-maximization, and how many more at most as long as the letters change.
 ROUNDS = 2
+MORE_ROUNDS = 4
 #: Prior odds of a cipher in a source before anything is learned, and the log odds a document needs to be reported.
 PRIOR, ENOUGH = 1e-4, -2.6
 #: Shares of a document's words that may be garbled, tried in turn.
@@ -90,6 +103,21 @@ def ideographs(word: str) -> list[str]:
     return [c for c in unicodedata.normalize("NFC", word) if 0x4E00 <= ord(c) <= 0x9FFF]
 
 
+class _Steps(dict):
+    """Log probability of the second letter of a pair after the first, kept once computed."""
+
+    def __init__(self, lm: Bigrams):
+        super().__init__()
+        self.lm = lm
+
+    def __missing__(self, pair: str) -> float:
+        lm, (a, b) = self.lm, pair
+        q = (lm.letter.get(b, 0.0) + 0.01) / lm.total
+        s = math.log((lm.pair.get(pair, 0.0) + 2.0 * q) / (lm.first.get(a, 0.0) + 2.0))
+        self[pair] = s = s - RARE if FIRST_CLASS <= ord(b) < FIRST_CLASS + 7 else s
+        return s
+
+
 class Bigrams:
     """Smoothed log probabilities of words. An ideograph counts as its class in the bigrams, then by its own share of
     the class; counts under a single character are those of ideographs."""
@@ -99,23 +127,44 @@ class Bigrams:
         self.sign = {p: n for p, n in counts.items() if len(p) == 1}
         self.signs = sum(self.sign.values()) + 0.1 * 20992
         self.first, self.letter = defaultdict(float), defaultdict(float)
+        self.after, self.before = defaultdict(set), defaultdict(set)  # letters of the pages beside a letter
         for p, n in self.pair.items():
             self.first[p[0]] += n
             self.letter[p[1]] += n
+            if p[1] > "\x7f" and p[1] in _KNOWN:
+                self.after[p[0]].add(p[1])
+            if p[0] > "\x7f" and p[0] in _KNOWN:
+                self.before[p[1]].add(p[0])
         self.total = sum(self.pair.values()) + 1.0
+        self.step = _Steps(self)
+        self.weighed: dict[tuple[str, str, str, str], tuple[float, list[tuple[str, float]]]] = {}
 
     def log(self, word: str) -> float:
-        w, s = folded(word), 0.0
+        w, s, step = folded(word), 0.0, self.step
         for a, b in zip(w, w[1:]):
-            q = (self.letter.get(b, 0.0) + 0.01) / self.total
-            s += math.log((self.pair.get(a + b, 0.0) + 2.0 * q) / (self.first.get(a, 0.0) + 2.0))
-            if FIRST_CLASS <= ord(b) < FIRST_CLASS + 7:
-                s -= RARE
+            s += step[a + b]
         if "一" in w:
             s += sum(math.log((self.sign.get(c, 0.0) + 0.1) / self.signs) for c in ideographs(word))
         return s
 
 
+    def letters(self, a: str, d: str, b: str, c: str) -> tuple[float, list[tuple[str, float]]]:
+        """For the letter ``d`` read from ``c`` between ``a`` and ``b``: what the word's log probability gains if ``c`` may
+        stand for other letters, and the shares of the others."""
+        key = a, d, b, c
+        got = self.weighed.get(key)
+        if got is None:
+            if len(self.weighed) > REMEMBERED:
+                self.weighed.clear()
+            here, most = self.step[a + d] + self.step[d + b], []
+            for x in self.after.get(a, set()) & self.before.get(b, set()):
+                if x != d and x != c:
+                    most.append((x, ODD / LETTERS * math.exp(min(self.step[a + x] + self.step[x + b] - here, 200.0))))
+            total = 1 - ODD + sum(n for _, n in most)
+            got = self.weighed[key] = math.log(total), [(x, n / total) for x, n in most if n > 1e-2 * total]
+        return got
+
+
 def ciphers() -> list[str]:
     """Names of all ciphers, 'read as>written as'."""
     narrow = [f"{r}>{w}" for r in PAGES for w in PAGES if r != w and _LETTER[r] != _LETTER[w] and {r, w} != {"cp1252", "latin-1"}]
@@ -138,7 +187,7 @@ class Reader:
         self.pages: dict[str, list[str]] = defaultdict(list)  # ciphers by the page they were read as
         self.narrow, self.patterns = {}, {}
         for name in self.names:
-            read, written = name.split(">")
+            read, written = name.rstrip("*").split(">")
             self.pages[read].append(name)
             if written in PAGES:
                 self.narrow[name] = str.maketrans({c: _LETTER[written][b] for c, b in _OF[read].items()} | tables.get(name, {}))
@@ -207,47 +256,123 @@ def _bigrams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.float64())], names=["k", "x"])
 
 
-def _posterior(word: str, reader: Reader, lm: Bigrams, weight) -> list[tuple[str | None, str, float]]:
-    readings = reader.readings(word, lm.log)
+def _weighed(word: str, text: str, lm: Bigrams) -> tuple[float, list[tuple[str, str, list[tuple[str, float]], bool]]]:
+    """What a reading by single bytes gains by another letter behind one of its bytes; byte, letter, the others' shares,
+    and whether it follows a small letter. Only the best byte counts: with all of them free, clean words would do as well."""
+    w, gain, out = folded(text), 0.0, []
+    if len(text) != len(word) or len(w) != len(text) + 2:
+        return gain, out
+    for i, c in enumerate(word):
+        if c > "\x7f":
+            g, others = lm.letters(w[i], w[i + 1], w[i + 2], c.lower())
+            gain = max(gain, g)
+            out.append((c, w[i + 1], others, i > 0 and text[i - 1].islower()))
+    return gain, out
+
+
+def _posterior(word: str, readers: list[Reader], lm: Bigrams, weight) -> list[tuple[str | None, str, float, list]]:
+    """Cipher, text as read, probability, and the letters behind its bytes; for no cipher the word itself."""
+    readings = {name: text for reader in readers for name, text in reader.readings(word, lm.log).items()}
+    narrow = {name for reader in readers for name in reader.narrow}
+    for name in [n for n in readings if n.endswith("*")]:  # where both read the same, the words are those of the source's own
+        if readings.get(name.rstrip("*")) == readings[name]:
+            del readings[name.rstrip("*")]
     score = {text: lm.log(text) for text in {word, *readings.values()}}
-    found = [(None, word, score[word])]
-    found += [(name, text, math.log(weight(name)) + score[text]) for name, text in readings.items()]
-    top = max(s for *_, s in found)
-    odds = [math.exp(s - top) for *_, s in found]
+    found = [(None, word, score[word], [])]
+    for name, text in readings.items():
+        gain, letters = _weighed(word, text, lm) if name in narrow else (0.0, [])
+        found.append((name, text, math.log(weight(name)) + score[text] + gain, letters))
+    top = max(s for _, _, s, _ in found)
+    odds = [math.exp(s - top) for _, _, s, _ in found]
     total = sum(odds)
-    return [(name, text, o / total) for (name, text, _), o in zip(found, odds) if o > 1e-6 * total]
+    return [(name, text, o / total, letters) for (name, text, _, letters), o in zip(found, odds) if o > 1e-6 * total]
+
+
+def _likeliest(text: str, letters: list[tuple[str, str, list[tuple[str, float]], bool]], word: str) -> str:
+    """The text with those letters replaced that are more likely others."""
+    if not any(others for _, _, others, _ in letters):
+        return text
+    out, at = list(text), iter(letters)
+    for i, c in enumerate(word):
+        if c > "\x7f":
+            out[i] = next((x for x, share in next(at)[2] if share > 0.5), out[i])
+    return "".join(out)
 
 
 def _expect(shared):
     """E-step over words: expected counts of ciphers by source group, of bigrams as read, of letters by byte."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, weights = shared.value
+        counts, weights, tables = shared.value
         lm, reader = Bigrams(counts), Reader()
+        own = {group: Reader(list(t), t) for group, t in tables.items()}
         out: dict[tuple[str, str], float] = defaultdict(float)
         for batch in batches:
             for group, word, n in zip(batch.column("grp").to_pylist(), batch.column("word").to_pylist(), batch.column("n").to_pylist()):
-                for name, text, p in _posterior(word, reader, lm, lambda c: weights.get((group, c), PRIOR)):
+                readers = [reader, own[group]] if group in own else [reader]
+                for name, text, p, letters in _posterior(word, readers, lm, lambda c: weights.get((group, c), PRIOR)):
                     read: dict[str, float] = defaultdict(float)
-                    _add_bigrams(read, text, p * n)
+                    _add_bigrams(read, _likeliest(text, letters, word), p * n)
                     for k, x in read.items():
                         out["bigram", k] += x
                     if name is not None:
                         out["cipher", f"{group}|{name}"] += p * n
-                        if name in reader.narrow and len(text) == len(word):
-                            for c, d in zip(word, text):
-                                if c > "\x7f":
-                                    out["letter", f"{name}|{c}{d}"] += p * n
+                        for c, d, others, inside in letters if p > SURE else ():
+                            out["letter", f"{group}|{name}|{c}{d}"] += p * (1 - sum(share for _, share in others))
+                            for x, share in others:
+                                out["letter", f"{group}|{name}|{c}{x}"] += p * share
+                            if inside:
+                                out["inside", f"{group}|{name}|{c}"] += p
                     out["words", str(group)] += p * n
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.string()), pa.array([v for _, v in out], pa.string()), pa.array(list(out.values()), pa.float64())], names=["kind", "k", "x"])
 
     return run
 
 
+def _own_tables(letters: dict[tuple[int, str], dict[str, Counter]], inside: dict[tuple[int, str], Counter], tables: dict[int, dict[str, dict[str, str]]]) -> dict[int, dict[str, dict[str, str]]]:
+    """M-step of the letters: by source group, its own ciphers with the letters in which they differ from the pages.
+
+    ``letters`` has the expected counts by group and cipher, byte and letter. A group believes in the letters of the whole
+    corpus, and the corpus in the tables of the last round. The bigrams know no case: a byte that mostly follows small
+    letters (``inside``) is a small letter, one that hardly does so is the capital of a letter that has a byte already.
+    """
+    everywhere: dict[tuple[str, str], Counter] = defaultdict(Counter)
+    for (_, name), by in letters.items():
+        for c, n in by.items():
+            everywhere[name, c].update(n)
+    out: dict[int, dict[str, dict[str, str]]] = {g: {name: dict(t) for name, t in own.items()} for g, own in tables.items()}
+    for (group, name), by in sorted(letters.items()):
+        last = tables.get(group, {}).get(name, {})
+        start = Reader([name], {name: last}).narrow[name]
+        letter = {c: chr(x) if isinstance(x := start.get(ord(c), c), int) else x for c in by}
+        own, changed = {c: folded(d)[1:-1] for c, d in letter.items()}, {}
+        for c, n in by.items():
+            of_all = everywhere[name, c]
+            backed = LETTER_BACKED / (sum(of_all.values()) + LETTER_BACKED)
+            likely = lambda d: n[d] + backed * (of_all[d] + LETTER_BACKED * (d == own[c]))  # noqa: B023, E731
+            best, *rest = sorted(sorted({*n, own[c]}), key=likely, reverse=True)
+            if rest and likely(best) < CLEAR * likely(rest[0]):
+                best = own[c]
+            often = inside[group, name][c] / max(sum(n.values()), 1e-9)
+            if best != own[c]:
+                changed[c] = best if often > 0.05 else best.upper()
+            elif letter[c].isupper() and often > 0.5 and sum(n.values()) > LETTER_BACKED:
+                changed[c] = best
+        taken = {folded(d)[1:-1] for c, d in letter.items() if c not in changed and by[c][own[c]] > 1}
+        changed = {c: d if d.lower() in taken and len(d) == 1 else d.lower() for c, d in changed.items()}
+        kept = sum(n[own[c]] for c, n in by.items() if changed.get(c, own[c]).lower() == own[c])
+        moved = sum(sum(by[c].values()) for c, d in changed.items() if d.lower() != own[c])
+        if changed and kept > PAGES_KEPT * moved:
+            mine = name if name.endswith("*") else f"{name}*"
+            if mine == name or mine not in tables.get(group, {}):  # what was added is changed by its own counts only
+                out.setdefault(group, {})[mine] = last | changed
+    return out
+
+
 class Model:
-    """What was learned: bigrams, weights of ciphers by source group, letters by cipher and byte."""
+    """What was learned: bigrams, weights of ciphers by source group, and each group's own ciphers with their letters."""
 
-    def __init__(self, bigrams: dict[str, float], weights: dict[tuple[int, str], float], tables: dict[str, dict[str, str]]):
+    def __init__(self, bigrams: dict[str, float], weights: dict[tuple[int, str], float], tables: dict[int, dict[str, dict[str, str]]]):
         self.bigrams, self.weights, self.tables = bigrams, weights, tables
 
 
@@ -258,7 +383,7 @@ def _prepared(df: DataFrame, id_col: str, text_col: str, source_col: str | None)
 
 def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source") -> Model:
     """Fit the ciphers on the words of all texts. What comes to the driver is bounded by the alphabet squared and by
-    the number of source groups times ciphers, not by the corpus."""
+    the number of source groups times ciphers and their bytes, not by the corpus."""
     spark = df.sparkSession
     counts = _prepared(df, id_col, text_col, source_col).mapInArrow(_word_counts, "grp int, word string, n long")
     words = materialise(counts.groupBy("grp", "word").agg(F.sum("n").alias("n")), "words")
@@ -272,11 +397,13 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     for r in first:
         bigrams[r.k] += r.x
     weights: dict[tuple[int, str], float] = {}
-    tables: dict[str, dict[str, str]] = {}
-    for _ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((dict(bigrams), weights))
+    tables: dict[int, dict[str, dict[str, str]]] = {}
+    for round_ in range(ROUNDS + MORE_ROUNDS):
+        shared = spark.sparkContext.broadcast((dict(bigrams), weights, tables))
         got = suspects.mapInArrow(_expect(shared), "kind string, k string, x double").groupBy("kind", "k").agg(F.sum("x").alias("x")).collect()
-        bigrams, letters, totals = defaultdict(float, base), defaultdict(dict), {}
+        bigrams, totals = defaultdict(float, base), {}
+        letters: dict[tuple[int, str], dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
+        inside: dict[tuple[int, str], Counter] = defaultdict(Counter)
         seen: dict[tuple[int, str], float] = {}
         everywhere: dict[str, float] = defaultdict(float)
         for r in got:
@@ -288,12 +415,19 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                 group, name = r.k.split("|", 1)
                 seen[int(group), name] = r.x
                 everywhere[name] += r.x
+            elif r.kind == "inside":
+                group, name, c = r.k.split("|", 2)
+                inside[int(group), name][c] = r.x
             else:
-                name, pair = r.k.split("|", 1)
-                letters[name].setdefault(pair[0], Counter())[pair[1]] += r.x
+                group, name, pair = r.k.split("|", 2)
+                letters[int(group), name][pair[0]][pair[1]] += r.x
         all_words = sum(totals.values()) + 1
-        weights = {(g, c): max((seen.get((g, c), 0.0) + BACKED * everywhere[c] / all_words) / (totals[g] + BACKED), 1e-12) for g in totals for c in everywhere}
-        tables = {name: {c: best.most_common(1)[0][0] for c, best in t.items()} for name, t in letters.items()}
+        weights = {(g, c): max((seen.get((g, c), 0.0) + BACKED * everywhere[c] / all_words) / (totals[g] + BACKED), 1e-12) for g in totals for c in everywhere if not c.endswith("*") or c in tables.get(g, {})}
+        before, tables = tables, _own_tables(letters, inside, tables)
+        for g, own in tables.items():  # a cipher just added begins with the weight of that it comes from
+            weights |= {(g, c): weights.get((g, c), weights.get((g, c.rstrip("*")), PRIOR)) for c in own}
+        if round_ + 1 >= ROUNDS and tables == before:
+            break
     return Model(dict(bigrams), weights, tables)
 
 
@@ -304,17 +438,22 @@ class Judge:
         self.m = model
         self.lm = Bigrams(model.bigrams)
         active = {c for _, c in model.weights}
-        self.reader = Reader([c for c in ciphers() if c in active], model.tables)
-        self.known: dict[str, list[tuple[str, str, float]]] = {}
+        self.reader = Reader([c for c in ciphers() if c in active])
+        self.own = {group: Reader(list(t), t) for group, t in model.tables.items()}
+        self.known: dict[tuple[int, str], list[tuple[str, str, float]]] = {}
+
+    def gains(self, word: str, group: int) -> list[tuple[str, str, float]]:
+        """Ciphers, what they make of the word, and by how much that is more likely; with the group's own ciphers."""
+        return self._gains(word, -1, self.reader) + (self._gains(word, group, self.own[group]) if group in self.own else [])
 
-    def gains(self, word: str) -> list[tuple[str, str, float]]:
-        got = self.known.get(word)
+    def _gains(self, word: str, group: int, reader: Reader) -> list[tuple[str, str, float]]:
+        got = self.known.get((group, word))
         if got is None:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            readings = self.reader.readings(word, self.lm.log)
+            readings = reader.readings(word, self.lm.log)
             score = {text: self.lm.log(text) for text in {word, *readings.values()}}
-            got = self.known[word] = [(n, t, score[t] - score[word]) for n, t in readings.items()]
+            got = self.known[group, word] = [(n, t, score[t] - score[word]) for n, t in readings.items()]
         return got
 
     def judge(self, text: str, group: int) -> tuple[str | None, float, str]:
@@ -324,7 +463,7 @@ class Judge:
             return None, 0.0, text
         by: dict[str, list[float]] = defaultdict(list)
         for w in suspects:
-            for name, _, gain in self.gains(w):
+            for name, _, gain in self.gains(w, group):
                 by[name].append(gain)
         best, score = None, -math.inf
         for name, gains in by.items():
@@ -336,7 +475,7 @@ class Judge:
                     best, score = name, s
         if best is None or score < ENOUGH:
             return None, score, text
-        fix = {w: t for w in set(suspects) for name, t, gain in self.gains(w) if name == best and gain > 0}
+        fix = {w: t for w in set(suspects) for name, t, gain in self.gains(w, group) if name == best and gain > 0}
         restored = re.sub(r"[^ \t\r\n]+", lambda m: fix.get(m[0], m[0]), text)
         return best, score, restored
 
@@ -344,7 +483,7 @@ class Judge:
 def garbled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", *, model: Model | None = None) -> DataFrame:
     """Affected rows only: ``(id, cipher, score, restored)``.
 
-    ``cipher`` names the encodings as 'read as>written as'; it is 'lost' for a text with replacement characters
+    ``cipher`` names the encodings as 'read as>written as', with ``*`` if the source's own letters differ from them; it is 'lost' for a text with replacement characters
     (U+FFFD) and no other cipher, whose bytes can't be had back, and ``restored`` is null then. Words that read better under the
     cipher are replaced in ``restored``, all else stays as it is.
 
