@@ -218,3 +218,18 @@ def test_letters_are_learned_by_source(spark):
     got = {x.id: x.restored for x in encodings.garbled(df, model=model).collect()}
     assert set(got) == {i for i in range(len(texts)) if i % 150 == 0}
     assert sum(texts[i] == t for i, t in got.items()) >= 0.95 * len(got)
+
+
+def test_several_ciphers_in_a_text():
+    """Paragraphs under different ciphers, and one cipher over another."""
+    counts = defaultdict(float)
+    for text in CLEAN.values():
+        for word in text.split():
+            encodings._add_bigrams(counts, word, 50)
+    judge = encodings.Judge(encodings.Model(dict(counts), {(0, c): 1e-3 for c in SWAPS}, {}))
+    parts = garble(CLEAN["fr"], "mac-roman>utf-8") + "\nplain\n" + garble(CLEAN["ru"], "koi8-r>cp1251")
+    names, _, restored = judge.judge(parts, 0)
+    assert restored == CLEAN["fr"] + "\nplain\n" + CLEAN["ru"] and names == "mac-roman>utf-8, koi8-r>cp1251"
+    twice = garble(garble(CLEAN["fr"], "cp1252>utf-8"), "mac-roman>utf-8")
+    assert judge.judge(twice, 0)[2] == CLEAN["fr"]
+    assert judge.judge(CLEAN["fr"] + "\n" + CLEAN["ru"], 0)[0] is None

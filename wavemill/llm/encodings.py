@@ -207,9 +207,9 @@ class Reader:
         except (UnicodeDecodeError, KeyError):
             return None
 
-    def readings(self, word: str, log) -> dict[str, str]:
+    def readings(self, word: str, log, depth: int = DEPTH) -> dict[str, str]:
         """Cipher to what it makes of the word, ciphers that change nothing or make no text left out. A cipher of several bytes a
-        letter is undone again as long as ``log`` finds the result more likely."""
+        letter is undone again, ``depth`` times in all, as long as ``log`` finds the result more likely."""
         out, beyond = {}, set(_BEYOND.findall(word))
         for read, names in self.pages.items():
             whole = beyond <= _OF[read].keys()
@@ -217,7 +217,7 @@ class Reader:
                 if not whole and name not in self.patterns:
                     continue
                 was, now = word, self.once(word, name)
-                for _ in range(DEPTH - 1 if name not in self.narrow else 0):
+                for _ in range(depth - 1 if name not in self.narrow else 0):
                     again = None if now is None or now == was else self.once(now, name)
                     if again is None or again == now or log(again) <= log(now):
                         break
@@ -440,52 +440,83 @@ class Judge:
         active = {c for _, c in model.weights}
         self.reader = Reader([c for c in ciphers() if c in active])
         self.own = {group: Reader(list(t), t) for group, t in model.tables.items()}
-        self.known: dict[tuple[int, str], list[tuple[str, str, float]]] = {}
+        self.known: dict[tuple[int, str, int], list[tuple[str, str, float]]] = {}
 
-    def gains(self, word: str, group: int) -> list[tuple[str, str, float]]:
+    def gains(self, word: str, group: int, depth: int = DEPTH) -> list[tuple[str, str, float]]:
         """Ciphers, what they make of the word, and by how much that is more likely; with the group's own ciphers."""
-        return self._gains(word, -1, self.reader) + (self._gains(word, group, self.own[group]) if group in self.own else [])
+        return self._gains(word, -1, self.reader, depth) + (self._gains(word, group, self.own[group], depth) if group in self.own else [])
 
-    def _gains(self, word: str, group: int, reader: Reader) -> list[tuple[str, str, float]]:
-        got = self.known.get((group, word))
+    def _gains(self, word: str, group: int, reader: Reader, depth: int) -> list[tuple[str, str, float]]:
+        got = self.known.get((group, word, depth))
         if got is None:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            readings = reader.readings(word, self.lm.log)
+            readings = reader.readings(word, self.lm.log, depth)
             score = {text: self.lm.log(text) for text in {word, *readings.values()}}
-            got = self.known[group, word] = [(n, t, score[t] - score[word]) for n, t in readings.items()]
+            got = self.known[group, word, depth] = [(n, t, score[t] - score[word]) for n, t in readings.items()]
         return got
 
-    def judge(self, text: str, group: int) -> tuple[str | None, float, str]:
-        """The cipher or None, its log odds, and the text restored."""
-        suspects = [w for w in _SPACES.split(text) if _SUSPECT.search(w)]
-        if not suspects:
-            return None, 0.0, text
+    def odds(self, suspects: list[str], group: int) -> dict[str, float]:
+        """Log odds of each cipher that reads one of the words, at the likeliest share of garbled words, without its prior."""
         by: dict[str, list[float]] = defaultdict(list)
         for w in suspects:
             for name, _, gain in self.gains(w, group):
                 by[name].append(gain)
-        best, score = None, -math.inf
-        for name, gains in by.items():
-            idle = len(suspects) - len(gains)
-            prior = math.log(max(self.m.weights.get((group, name), 0.0), PRIOR))
-            for share in PARTS:
-                s = prior + idle * math.log1p(-share) + sum(math.log1p(share * math.expm1(min(g, 50.0))) for g in gains)
-                if s > score:
-                    best, score = name, s
-        if best is None or score < ENOUGH:
-            return None, score, text
-        fix = {w: t for w in set(suspects) for name, t, gain in self.gains(w, group) if name == best and gain > 0}
-        restored = re.sub(r"[^ \t\r\n]+", lambda m: fix.get(m[0], m[0]), text)
-        return best, score, restored
+        return {
+            name: max((len(suspects) - len(gains)) * math.log1p(-share) + sum(math.log1p(share * math.expm1(min(g, 50.0))) for g in gains) for share in PARTS)
+            for name, gains in by.items()
+        }
+
+    def prior(self, name: str, group: int) -> float:
+        return math.log(max(self.m.weights.get((group, name), 0.0), PRIOR))
+
+    def judge(self, text: str, group: int) -> tuple[str | None, float, str]:
+        """The ciphers or None, the log odds of the likeliest in the whole text, and the text restored."""
+        suspects = [w for w in _SPACES.split(text) if _SUSPECT.search(w)]
+        if not suspects:
+            return None, 0.0, text
+        odds = {name: self.prior(name, group) + s for name, s in self.odds(suspects, group).items()}
+        best = max(odds, key=odds.get, default=None)
+        if best is None or odds[best] < ENOUGH:
+            return None, odds.get(best, -math.inf), text
+        used: dict[str, None] = {}
+        restored = "\n".join(self.restored(part, group, best, used) for part in text.split("\n"))
+        return ", ".join(used) or best, odds[best], restored
+
+    def undone(self, word: str, text: str, name: str, group: int) -> str:
+        """``text``, the word under the cipher, repeated if need be; or undone only once if another cipher then does better."""
+        once = next((t for n, t, _ in self.gains(word, group, 1) if n == name), text)
+        if once != text and any(n != name and self.lm.log(t) + self.prior(n, group) > self.lm.log(text) for n, t, _ in self.gains(once, group)):
+            return once
+        return text
+
+    def restored(self, part: str, group: int, of_text: str, used: dict[str, None]) -> str:
+        """A paragraph under the cipher of its text or a likelier one, then under any that makes the result likelier still."""
+        here = {of_text}  # as likely as not to be met, and to be met again
+        for k in range(DEPTH):
+            suspects = [w for w in _SPACES.split(part) if _SUSPECT.search(w)]
+            odds = {name: s + (math.log(0.5) if name in here else self.prior(name, group)) for name, s in self.odds(suspects, group).items()}
+            name = max(odds, key=odds.get, default=None)
+            if name is None or (odds[name] <= 0 and k > 0):
+                break
+            if odds[name] <= 0:
+                name = of_text
+            fix = {w: self.undone(w, t, name, group) for w in set(suspects) for n, t, gain in self.gains(w, group) if n == name and gain > 0}
+            if not fix:
+                break
+            here.add(name)
+            used[name] = None
+            part = re.sub(r"[^ \t\r\n]+", lambda m: fix.get(m[0], m[0]), part)  # noqa: B023
+        return part
 
 
 def garbled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", *, model: Model | None = None) -> DataFrame:
     """Affected rows only: ``(id, cipher, score, restored)``.
 
-    ``cipher`` names the encodings as 'read as>written as', with ``*`` if the source's own letters differ from them; it is 'lost' for a text with replacement characters
-    (U+FFFD) and no other cipher, whose bytes can't be had back, and ``restored`` is null then. Words that read better under the
-    cipher are replaced in ``restored``, all else stays as it is.
+    ``cipher`` names the encodings as 'read as>written as', with ``*`` if the source's own letters differ from them, and with
+    commas between if paragraphs or rounds differ in it, in the order in which they are undone; it is 'lost' for a text with
+    replacement characters (U+FFFD) and no other cipher, whose bytes can't be had back, and ``restored`` is null then. Words
+    that read better under the cipher of their paragraph are replaced in ``restored``, all else stays as it is.
 
     Null and empty texts are not affected; repeated rows stay; other columns are ignored. Without ``model`` it is
     learned from the same rows first.
