@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wavemill.functions import bits, codec, strings
 from wavemill.operators import bands, overlay, postings, search, stats
-from wavemill.sources.fixtures import lcg_range
+from wavemill.sources.fixtures import lcg_fingerprints, lcg_range
 from wavemill.sources.tables import table
 from wavemill.tuning import STRATEGIES, HitOptions, QueryOptions, auto_tune, grid
 
@@ -209,6 +209,14 @@ def lcg_query(spark, d):
     return _whole(search.full_query(q, postings.sampled(fps)), "delta", "rank")
 
 
+def lcg_fixture_query(spark, d):
+    """As lcg_query, with a fingerprint generated from every id of the fingerprint table."""
+    ids = _fps(spark, d).select("fp_id").where(F.col("fp_id").isNotNull()).distinct()
+    fps = lcg_fingerprints(ids, 64)
+    q = fps.select(F.col("fp_id").alias("qid"), F.slice("values", 17, 48).alias("values"))
+    return _whole(search.full_query(q, postings.sampled(fps)), "delta", "rank")
+
+
 # scalar functions
 
 
@@ -288,7 +296,7 @@ def autotune_choice(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    query_full, query_full_minhits_topk, query_full_overflow, query_full_verified, band_search_counts, band_candidates, band_query, band_query_options, band_query_metadata, band_query_overflow, lcg_query,
+    query_full, query_full_minhits_topk, query_full_overflow, query_full_verified, band_search_counts, band_candidates, band_query, band_query_options, band_query_metadata, band_query_overflow, lcg_query, lcg_fixture_query,
     overlay_scan, lookup_fingerprint, lookup_metadata, lookup_hash, iterate_mappings, latest_mappings, overflow_first_wins, compact_datastore, compact_metadata, compact_posting_index, compact_search_index,
     sampled_postings_build, posting_stats, posting_buckets, posting_bucket_sizes, skip_directory, extract_bands, band_directory, band_stats, band_posting_list,
     hamming_pairs, xor_deltas, encoded_sizes, codec_roundtrip_varint, codec_roundtrip_packed, string_pool_encode, string_pool_parse, dataset_stats, needs_compaction, autotune_grid, autotune_choice,

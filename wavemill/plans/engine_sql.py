@@ -90,6 +90,11 @@ _GRID = """n AS (SELECT count(*) AS n FROM fingerprints), g AS (SELECT bands, bi
 grid AS (SELECT bands, bits, (est_ram + n * 720 * bands)::BIGINT AS est_size, est_ram, -10 * abs(bands - 4) - 10 * abs(bits - 8) AS manual, 100 * bands - 10 * bits AS speed, -bands * (1::BIGINT << bits) AS low_ram,
     (50 * bands - ((est_ram + n * 720 * bands)::BIGINT >> 20))::BIGINT AS balanced FROM g, n)"""
 
+_LCG_FIXTURES = """RECURSIVE l AS (SELECT DISTINCT fp_id, 0 AS k, fp_id::BIGINT AS x FROM fingerprints WHERE fp_id IS NOT NULL UNION ALL
+    SELECT fp_id, k + 1, (x * 1103515245 + 12345) & 4294967295 FROM l WHERE k < 64),
+idx AS (SELECT DISTINCT x & 4294967292 AS hash, fp_id, ((k - 1) // 8)::INT AS ordinal FROM l WHERE k > 0 AND (k - 1) % 8 = 0),
+lq AS (SELECT fp_id AS qid, list(x ORDER BY k) AS "values" FROM l WHERE k > 16 GROUP BY fp_id)"""
+
 _LCG = """RECURSIVE l AS (SELECT i AS fp_id, 0 AS k, i::BIGINT AS x FROM range(1, 41) t(i) UNION ALL SELECT fp_id, k + 1, (x * 1103515245 + 12345) & 4294967295 FROM l WHERE k < 64),
 idx AS (SELECT DISTINCT x & 4294967292 AS hash, fp_id, ((k - 1) // 8)::INT AS ordinal FROM l WHERE k > 0 AND (k - 1) % 8 = 0),
 lq AS (SELECT fp_id AS qid, list(x ORDER BY k) AS "values" FROM l WHERE k > 16 GROUP BY fp_id)"""
@@ -108,6 +113,7 @@ SQL = {
 SELECT qid, fp_id, ber, score_name, mbid, track_id, title FROM matched LEFT JOIN m1 USING (fp_id)""",
     "band_query_overflow": _band_query(_candidates(True), _ONE_OVERLAID) + _ALL,
     "lcg_query": _full(_LCG, "SELECT * FROM idx", queries="lq") + "SELECT * FROM full_",
+    "lcg_fixture_query": _full(_LCG_FIXTURES, "SELECT * FROM idx", queries="lq") + "SELECT * FROM full_",
     "overlay_scan": f'WITH {_OVERLAY} SELECT fp_id, duration_ms, coalesce(len("values"), NULL) AS n_values, from_overflow FROM every',
     "lookup_fingerprint": """WITH k AS (SELECT DISTINCT fp_id FROM deleted_fps), e AS (SELECT * FROM fingerprints_overflow SEMI JOIN k USING (fp_id) UNION ALL
     SELECT * FROM (SELECT * FROM fingerprints SEMI JOIN k USING (fp_id)) ANTI JOIN fingerprints_overflow USING (fp_id))
