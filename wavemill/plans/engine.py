@@ -140,6 +140,11 @@ def extract_bands(spark, d):
     return _whole(bands.exploded_bands(_queries(spark, d), "qid", bands.BandTuning()), "pos", "band", "band_value")
 
 
+def fingerprint_bands(spark, d):
+    """The bands of every value of the fingerprint table."""
+    return _whole(bands.exploded_bands(_fps(spark, d), "fp_id", bands.BandTuning()), "pos", "band", "band_value")
+
+
 def band_directory(spark, d):
     """Postings of each bucket of the band index built from all fingerprints."""
     return bands.bucket_directory(bands.band_postings(_fps(spark, d)))
@@ -234,6 +239,10 @@ def xor_deltas(spark, d):
     return _whole(_queries(spark, d).select("qid", F.posexplode(bits.xor_deltas("values")).alias("pos", "delta")), "pos")
 
 
+def fingerprint_xor_deltas(spark, d):
+    return _whole(_fps(spark, d).select("fp_id", "added_at", F.posexplode(bits.xor_deltas("values")).alias("pos", "delta")), "pos")
+
+
 def encoded_sizes(spark, d):
     rows = _fps(spark, d).where(F.col("values").isNotNull())
     return rows.select("fp_id", "added_at", F.size("values").cast("bigint").alias("n_values"), bits.varint_size("values").alias("varint_bytes"), bits.packed_size("values").alias("packed_bytes"))
@@ -298,6 +307,6 @@ def autotune_choice(spark, d):
 QUERIES = {f.__name__: f for f in (
     query_full, query_full_minhits_topk, query_full_overflow, query_full_verified, band_search_counts, band_candidates, band_query, band_query_options, band_query_metadata, band_query_overflow, lcg_query, lcg_fixture_query,
     overlay_scan, lookup_fingerprint, lookup_metadata, lookup_hash, iterate_mappings, latest_mappings, overflow_first_wins, compact_datastore, compact_metadata, compact_posting_index, compact_search_index,
-    sampled_postings_build, posting_stats, posting_buckets, posting_bucket_sizes, skip_directory, extract_bands, band_directory, band_stats, band_posting_list,
-    hamming_pairs, xor_deltas, encoded_sizes, codec_roundtrip_varint, codec_roundtrip_packed, string_pool_encode, string_pool_parse, dataset_stats, needs_compaction, autotune_grid, autotune_choice,
+    sampled_postings_build, posting_stats, posting_buckets, posting_bucket_sizes, skip_directory, extract_bands, fingerprint_bands, band_directory, band_stats, band_posting_list,
+    hamming_pairs, xor_deltas, fingerprint_xor_deltas, encoded_sizes, codec_roundtrip_varint, codec_roundtrip_packed, string_pool_encode, string_pool_parse, dataset_stats, needs_compaction, autotune_grid, autotune_choice,
 )}

@@ -140,6 +140,8 @@ v AS (SELECT hash, count(*) AS n, sum({_varint('d')}) AS b FROM d GROUP BY hash)
 SELECT hash, n AS n_postings, (b + n + {_varint('n')} + {_varint('g')})::BIGINT AS n_bytes FROM v JOIN h USING (hash)""",
     "skip_directory": f"WITH {_INDEX}, r AS (SELECT hash, row_number() OVER (ORDER BY hash) - 1 AS r FROM (SELECT DISTINCT hash FROM idx)) SELECT (r // 64)::BIGINT AS entry, hash FROM r WHERE r % 64 = 0",
     "extract_bands": f"WITH {_QBANDS} SELECT qid, p AS pos, k AS band, bv AS band_value FROM qb",
+    "fingerprint_bands": """WITH v AS (SELECT fp_id, unnest("values") AS v, unnest(range(len("values"))) AS p FROM fingerprints WHERE len("values") > 0)
+SELECT fp_id, p AS pos, k AS band, (v >> (8 * k)) & 255 AS band_value FROM v, range(4) r(k) WHERE v IS NOT NULL""",
     "band_directory": """WITH v AS (SELECT unnest("values") AS v FROM fingerprints WHERE len("values") > 0)
 SELECT (k * 256 + ((v >> (8 * k)) & 255))::INT AS bucket, count(*) AS n_postings FROM v, range(4) r(k) WHERE v IS NOT NULL GROUP BY 1""",
     "band_stats": "SELECT 1024::BIGINT AS total_buckets, count(*) AS total_postings, count(*) // 1024 AS avg_per_bucket FROM band_postings",
@@ -151,6 +153,7 @@ e AS (SELECT fp_id, n * 32 AS bits, list_sum(list_transform(range(1, n + 1), lam
 s AS (SELECT *, errors::DOUBLE / bits AS ber, CASE WHEN errors::DOUBLE / bits < 0.15 THEN 0 WHEN errors::DOUBLE / bits < 0.25 THEN 1 WHEN errors::DOUBLE / bits < 0.35 THEN 2 ELSE 3 END AS score FROM e)
 SELECT fp_id, bits, errors, ber, {_NAME} AS score_name FROM s""",
     "xor_deltas": f'WITH x AS (SELECT qid, {_XOR} AS x FROM queries WHERE len("values") > 1) SELECT qid, unnest(range(len(x))) AS pos, unnest(x) AS delta FROM x',
+    "fingerprint_xor_deltas": f'WITH x AS (SELECT fp_id, added_at, {_XOR} AS x FROM fingerprints WHERE len("values") > 1) SELECT fp_id, added_at, unnest(range(len(x))) AS pos, unnest(x) AS delta FROM x',
     "encoded_sizes": f"WITH {_SIZES} SELECT fp_id, added_at, n_values, varint_bytes::BIGINT AS varint_bytes, packed_bytes::BIGINT AS packed_bytes FROM sized",
     "codec_roundtrip_varint": f"WITH {_SIZES} SELECT fp_id, added_at, varint_bytes::BIGINT AS n_bytes, n_values, coalesce(total, 0)::BIGINT AS checksum FROM sized",
     "codec_roundtrip_packed": f"WITH {_SIZES} SELECT fp_id, added_at, packed_bytes::BIGINT AS n_bytes, n_values, coalesce(total, 0)::BIGINT AS checksum FROM sized",
