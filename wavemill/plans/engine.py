@@ -158,6 +158,13 @@ def band_posting_list(spark, d):
     return _whole(bands.posting_list(_bands(spark, d), 517, _overflow_bands(spark, d)), "pos")
 
 
+def band_posting_lists(spark, d):
+    """The postings of every bucket that a band of any query falls into, each once for its bucket."""
+    wanted = bands.band_postings(_queries(spark, d).withColumnRenamed("qid", "fp_id")).select("bucket").distinct()
+    every = _bands(spark, d).unionByName(_overflow_bands(spark, d))
+    return _whole(every.join(wanted, "bucket", "left_semi").select("bucket", "fp_id", "pos"), "bucket", "pos")
+
+
 # searches
 
 
@@ -307,6 +314,6 @@ def autotune_choice(spark, d):
 QUERIES = {f.__name__: f for f in (
     query_full, query_full_minhits_topk, query_full_overflow, query_full_verified, band_search_counts, band_candidates, band_query, band_query_options, band_query_metadata, band_query_overflow, lcg_query, lcg_fixture_query,
     overlay_scan, lookup_fingerprint, lookup_metadata, lookup_hash, iterate_mappings, latest_mappings, overflow_first_wins, compact_datastore, compact_metadata, compact_posting_index, compact_search_index,
-    sampled_postings_build, posting_stats, posting_buckets, posting_bucket_sizes, skip_directory, extract_bands, fingerprint_bands, band_directory, band_stats, band_posting_list,
+    sampled_postings_build, posting_stats, posting_buckets, posting_bucket_sizes, skip_directory, extract_bands, fingerprint_bands, band_directory, band_stats, band_posting_list, band_posting_lists,
     hamming_pairs, xor_deltas, fingerprint_xor_deltas, encoded_sizes, codec_roundtrip_varint, codec_roundtrip_packed, string_pool_encode, string_pool_parse, dataset_stats, needs_compaction, autotune_grid, autotune_choice,
 )}

@@ -147,6 +147,9 @@ SELECT (k * 256 + ((v >> (8 * k)) & 255))::INT AS bucket, count(*) AS n_postings
     "band_stats": "SELECT 1024::BIGINT AS total_buckets, count(*) AS total_postings, count(*) // 1024 AS avg_per_bucket FROM band_postings",
     "band_posting_list": f"""SELECT fp_id, pos::BIGINT AS pos FROM band_postings WHERE bucket = 517
 UNION ALL SELECT fp_id, pos FROM ({_OVERFLOW_BANDS}) WHERE band = 2 AND band_value = 5""",
+    "band_posting_lists": f"""WITH {_QBANDS}, b AS (SELECT DISTINCT k * 256 + bv AS bucket FROM qb)
+SELECT bucket::BIGINT AS bucket, fp_id, pos::BIGINT AS pos FROM (SELECT bucket, fp_id, pos FROM band_postings
+    UNION ALL SELECT band * 256 + band_value, fp_id, pos FROM ({_OVERFLOW_BANDS})) SEMI JOIN b USING (bucket)""",
     "hamming_pairs": f"""WITH a AS (SELECT fp_id, max("values") AS x FROM fingerprints GROUP BY fp_id), b AS (SELECT fp_id, max("values") AS y FROM fingerprints_overflow GROUP BY fp_id),
 n AS (SELECT fp_id, x, y, least(len(x), len(y)) AS n FROM a JOIN b USING (fp_id)),
 e AS (SELECT fp_id, n * 32 AS bits, list_sum(list_transform(range(1, n + 1), lambda i: bit_count(xor(x[i], y[i]))))::BIGINT AS errors FROM n WHERE n > 0),
