@@ -4,12 +4,13 @@ from collections import defaultdict
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import rows_of
+from conftest import DATA, rows_of
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from wavemill.operators import heavy_keys, orphans
+from wavemill.plans import data_checks
 
 
 def counted(rows):
@@ -57,6 +58,27 @@ def orphaned(refs, targets, match):
     return sorted(out, key=str)
 
 
+@pytest.mark.parametrize("match", orphans.MATCHES)
+def test_spans(spark, match):
+    """A key column that must lie in a span, by null mask."""
+    refs = [(1, 5), (1, 9), (1, None), (2, 5), (3, 1), (None, 5), (4, 4), (4, None), (None, None), (5, 7)]
+    targets = [(1, 3, 6), (1, 3, 6), (2, 6, None), (3, None, 2), (4, 4, 4), (5, None, None), (None, 0, 99)]
+    r, t = spark.createDataFrame(refs, "k long, at long"), spark.createDataFrame(targets, "k long, a long, b long")
+    got = orphans.orphan_references(r, ["k", "at"], t, match, {"at": ("a", "b")})
+    want = [(1, 9), (2, 5), (4, 4)] + ([(1, None), (4, None), (None, 5)] if match == "full" else [])
+    assert rows_of(got) == sorted(want, key=str)
+    with pytest.raises(ValueError):
+        orphans.orphan_references(r, ["at"], t, match, {"at": ("a", "b")})
+
+
+def test_p3_uses_the_anti_join_by_mask(spark, monkeypatch):
+    seen = []
+    real = orphans.orphan_references
+    monkeypatch.setattr(orphans, "orphan_references", lambda *a: seen.append(a[1]) or real(*a))
+    data_checks.p3_found(spark, str(DATA))
+    assert seen == [["fp_id", "added_at"]]
+
+
 @pytest.mark.parametrize("match", orphans.MATCHES)
 def test_composite_keys(spark, match):
     refs = [(1, 1, "a"), (1, 1, "a"), (1, 2, "b"), (None, 2, "c"), (None, 9, "d"), (2, None, "e"), (9, None, "f"), (None, None, "g"), (3, 3, None)]

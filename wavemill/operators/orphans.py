@@ -19,7 +19,7 @@ def _all(parts: list[Column]) -> Column:
     return out
 
 
-def orphan_references(refs: DataFrame, keys: list[str], targets: DataFrame, match: str = "simple") -> DataFrame:
+def orphan_references(refs: DataFrame, keys: list[str], targets: DataFrame, match: str = "simple", spans: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """Rows of ``refs`` whose composite key ``keys`` has no partner in ``targets`` (same column names).
 
     References are split by null mask (which key columns are null); each mask is anti-joined with the distinct
@@ -29,11 +29,19 @@ def orphan_references(refs: DataFrame, keys: list[str], targets: DataFrame, matc
     * ``partial``: the non-null columns must occur together in some target; all null is no orphan;
     * ``full``: all null is no orphan, some but not all null is an orphan.
 
+    A key column named in ``spans`` isn't compared for equality: it must lie in the target's half-open span, of which
+    the two columns are given; a null start means since ever, a null end for good, and an empty span holds nothing.
+    It is checked together with the other columns only, so a mask with nothing else is no orphan under ``partial``.
+
     Repeated references stay repeated; the result has exactly the columns of ``refs``. Targets with nulls match by
     their non-null columns under ``partial`` only. Empty targets make every checked reference an orphan.
     """
     if match not in MATCHES:
         raise ValueError(f"match must be one of {MATCHES}")
+    spans = spans or {}
+    equal = [k for k in keys if k not in spans]
+    if not equal:
+        raise ValueError("a key of spans only can't be checked")
     out = None
     for mask in product((False, True), repeat=len(keys)):
         part = refs.where(_all([F.col(k).isNull() if null else F.col(k).isNotNull() for k, null in zip(keys, mask)]))
@@ -41,76 +49,56 @@ def orphan_references(refs: DataFrame, keys: list[str], targets: DataFrame, matc
         if not there or (any(mask) and match == "simple"):
             continue
         if not any(mask) or match == "partial":
-            known = targets.select(*there).where(_all([F.col(k).isNotNull() for k in there])).distinct()
-            part = part.join(known, there, "left_anti").select(*refs.columns)
+            same, inside = [k for k in there if k in equal], [k for k in there if k in spans]
+            if not same:
+                continue
+            ends = [F.col(c).alias(f"_{i}_{e}") for i, k in enumerate(inside) for e, c in enumerate(spans[k])]
+            known = targets.where(_all([F.col(k).isNotNull() for k in same])).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(same)], *ends).distinct()
+            on = [part[k] == F.col(f"_k{i}") for i, k in enumerate(same)]
+            for i, k in enumerate(inside):
+                on.append((F.col(f"_{i}_0").isNull() | (F.col(f"_{i}_0") <= part[k])) & (F.col(f"_{i}_1").isNull() | (part[k] < F.col(f"_{i}_1"))))
+            part = part.join(known, _all(on), "left_anti")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def state_asof(refs: DataFrame, changes: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """``refs`` plus ``value``: that of the key's last change at or before ``at``, null if there is none.
+def lives(additions: DataFrame, deletions: DataFrame, key: str, at: str) -> DataFrame:
+    """The spans ``(key, _from, _to)`` in which each key is there: from an addition to the next deletion or for good.
 
-    ``changes`` has the columns ``key``, ``at``, ``value``, one row for each key and time. Both sides are cut into
-    days; a key's state is carried over its days first (at most one row for each day), then inside each day, so that
-    no window holds more than one key's rows of one day.
+    At equal times the addition comes last. Changes are cut into days: in each day a window finds the next change, and
+    over an id's days another finds the first change of the next one, so no window holds more than one key's changes
+    of a day or its days. An addition without a time gives an empty span: the key is known, but there at no time.
     """
-    day = F.to_date(at)
-    c = changes.select(key, at, value).withColumn("_day", day)
-    r = refs.withColumn("_day", day)
-    by_day = c.groupBy(key, "_day").agg(F.max_by(value, at).alias("_last"))
-    days = by_day.unionByName(r.select(key, "_day").distinct().withColumn("_last", F.lit(None).cast(changes.schema[value].dataType)))
-    days = days.groupBy(key, "_day").agg(F.max("_last").alias("_last"))
-    before = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    carried = days.withColumn(value, F.last("_last", ignorenulls=True).over(before)).where(F.col(value).isNotNull())
-    others = [x for x in refs.columns if x not in (key, at)]
-    packed = F.struct(*others) if others else F.struct(F.lit(1).alias("_one"))
-    rows = r.select(key, "_day", at, F.lit(2).alias("_kind"), F.lit(None).cast(changes.schema[value].dataType).alias(value), packed.alias("_ref"))
-    nothing = F.lit(None).cast(rows.schema["_ref"].dataType).alias("_ref")
-    rows = rows.unionByName(c.select(key, "_day", at, F.lit(1).alias("_kind"), value, nothing))
-    rows = rows.unionByName(carried.select(key, "_day", F.lit(None).cast(refs.schema[at].dataType).alias(at), F.lit(0).alias("_kind"), value, nothing))
-    upto = Window.partitionBy(key, "_day").orderBy(F.col(at).asc_nulls_first(), "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    got = rows.withColumn(value, F.last(value, ignorenulls=True).over(upto)).where("_kind = 2")
-    return got.select(key, at, *[F.col(f"_ref.{x}").alias(x) for x in others], value)
+    added = additions.select(key, at, F.lit(1).alias("_alive")).where(F.col(key).isNotNull())
+    gone = deletions.select(key, at, F.lit(0).alias("_alive")).where(F.col(key).isNotNull() & F.col(at).isNotNull())
+    changes = added.where(F.col(at).isNotNull()).unionByName(gone).groupBy(key, at).agg(F.max("_alive").alias("_alive")).withColumn("_day", F.to_date(at))
+    days = changes.groupBy(key, "_day").agg(F.min(at).alias("_first")).withColumn("_after", F.lead("_first").over(Window.partitionBy(key).orderBy("_day"))).drop("_first")
+    following = F.coalesce(F.lead(at).over(Window.partitionBy(key, "_day").orderBy(at)), F.col("_after"))
+    spans = changes.join(days, [key, "_day"]).withColumn("_to", following).where("_alive = 1").select(key, F.col(at).alias("_from"), "_to")
+    never = F.lit(0).cast("timestamp").cast(additions.schema[at].dataType)
+    return spans.unionByName(added.where(F.col(at).isNull()).select(key, never.alias("_from"), never.alias("_to")).distinct())
 
 
 def failed_references(refs: DataFrame, additions: DataFrame, deletions: DataFrame, exempt: DataFrame | None, key: str, at: str, match: str = "partial") -> DataFrame:
     """References (``key``, ``at`` and any other columns) that fail at their time, with ``kind``.
 
-    The reference is the composite (key, time). By null mask: with both, it holds if the key's last addition or
-    deletion at or before the time is an addition (an addition comes last among equal times); with a null time, it is
-    anti-joined on the key alone under ``partial``, an orphan under ``full`` and not checked under ``simple``; a null
-    key is no reference, under ``full`` an orphan if it has a time. Keys in ``exempt`` always hold.
+    The reference is the composite (key, time), and its targets are the spans in which a key is there (``lives``), those
+    of ``exempt`` keys at all times: :func:`orphan_references` anti-joins the mask with both columns on the key with the
+    time inside the span, and the mask without a time on the key alone under ``partial``; that one is an orphan under
+    ``full`` and not checked under ``simple``. A null key is no reference, under ``full`` an orphan if it has a time.
 
-    ``kind``: 'missing' if the key was never added, 'late' if it was only added after the time, 'deleted' otherwise,
-    'incomplete' for what ``full`` refuses. Equal references are reported once. A column ``kind`` that ``refs`` has
-    already is replaced.
+    ``kind``: 'missing' if the key was never added at a time, 'late' if it was only added after the reference's,
+    'deleted' otherwise, 'incomplete' for what ``full`` refuses. Equal references are reported once. A column ``kind``
+    that ``refs`` has already is replaced.
     """
-    if match not in MATCHES:
-        raise ValueError(f"match must be one of {MATCHES}")
-    # read several times below, and far smaller than the tables it comes from
-    refs = materialise(refs.drop("kind").distinct(), "references")
-    adds = additions.select(key, at).where(F.col(key).isNotNull())
-    dels = deletions.select(key, at).where(F.col(key).isNotNull() & F.col(at).isNotNull()).distinct()
-    full_mask = refs.where(F.col(key).isNotNull() & F.col(at).isNotNull())
+    refs = refs.drop("kind").distinct()
+    there = lives(additions, deletions, key, at)
     if exempt is not None:
-        full_mask = full_mask.join(exempt.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
-    first = adds.groupBy(key).agg(F.min(at).alias("_first"))
-    known = full_mask.join(first, key, "left")
-    early = known.where(F.col("_first").isNull() | (F.col(at) < F.col("_first")))
-    early = early.withColumn("kind", F.when(F.col("_first").isNull(), "missing").otherwise("late"))
-    # only a key that was deleted at some time can fail after its first addition
-    later = known.where(F.col(at) >= F.col("_first")).join(dels.select(key).distinct(), key, "left_semi").drop("_first")
-    changes = adds.where(F.col(at).isNotNull()).join(dels.select(key).distinct(), key, "left_semi").select(key, at, F.lit(1).alias("_alive"))
-    changes = changes.unionByName(dels.select(key, at, F.lit(0).alias("_alive"))).groupBy(key, at).agg(F.max("_alive").alias("_alive"))
-    deleted = state_asof(later, changes, key, at, "_alive").where("_alive = 0").withColumn("kind", F.lit("deleted"))
-    columns = [*refs.columns, "kind"]
-    out = early.select(*columns).unionByName(deleted.select(*columns))
-    untimed = refs.where(F.col(key).isNotNull() & F.col(at).isNull())
-    if exempt is not None:
-        untimed = untimed.join(exempt.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
-    if match == "partial":
-        out = out.unionByName(untimed.join(adds.select(key).distinct(), key, "left_anti").withColumn("kind", F.lit("missing")).select(*columns))
-    elif match == "full":
-        keyless = refs.where(F.col(key).isNull() & F.col(at).isNotNull())
-        out = out.unionByName(untimed.unionByName(keyless).withColumn("kind", F.lit("incomplete")).select(*columns))
-    return out
+        ever = F.lit(None).cast(refs.schema[at].dataType)
+        there = there.unionByName(exempt.select(key, ever.alias("_from"), ever.alias("_to")))
+    # read by every mask, and few rows
+    failed = materialise(orphan_references(refs, [key, at], there, match, {at: ("_from", "_to")}), "failed")
+    partly = F.col(key).isNull() | F.col(at).isNull()
+    first = additions.where(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(at).alias("_first"))
+    kind = F.when(partly & F.lit(match == "full"), "incomplete").when(F.col("_first").isNull() | F.col(at).isNull(), "missing").when(F.col(at) < F.col("_first"), "late").otherwise("deleted")
+    return failed.join(first, F.col(key) == F.col("_key"), "left").select(*refs.columns, kind.alias("kind"))
