@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -34,9 +35,8 @@ def _blocks_of(values: pa.Array, n_blocks: int) -> np.ndarray:
         x = values.cast(pa.int64()).to_numpy(zero_copy_only=False).astype(np.uint64)
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
         return ((x >> np.uint64(33)) % np.uint64(n_blocks)).astype(np.int32)
-    import xxhash
-
-    return np.fromiter((xxhash.xxh32_intdigest(str(v).encode()) % n_blocks for v in values.to_pylist()), np.int32, len(values))
+    x = pd.util.hash_array(values.cast(pa.string()).to_numpy(zero_copy_only=False).astype(object), categorize=False)
+    return (x % np.uint64(n_blocks)).astype(np.int32)
 
 
 def _split_counts(n_blocks: int, schema: pa.Schema):
