@@ -76,6 +76,30 @@ def test_band_query_equals_simulation_with_overflow(spark):
         assert mine == simulated(q, stored, later)
 
 
+def test_every_tuning(spark):
+    """Whatever the number of bands, a fingerprint finds itself at its offset with as many meetings as counted by hand."""
+    fps, query = lcg_range(spark, 1, 4, 40), lcg(2, 40)[5:]
+    for n, size in [(1, 1), (32, 1), (20, 1), (17, 1), (1, 32), (16, 2), (10, 3), (8, 4), (6, 5), (2, 16)]:
+        t = BandTuning(n, size)
+        band = lambda v, k: (v >> size * k) & ((1 << size) - 1)  # noqa: B023, E731
+        met = {(fp, qp, k, p) for fp in range(1, 5) for qp, v in enumerate(query) for p, w in enumerate(lcg(fp, 40)) for k in range(n) if band(v, k) == band(w, k)}
+        got = {r.fp_id: (r.matches, r.qpos, r.pos) for r in search.band_matches(as_queries(spark, query), bands.band_postings(fps, t), t).collect()}
+        want = {}
+        for fp in {m[0] for m in met}:
+            mine = [m for m in met if m[0] == fp]
+            _, qp, _, p = min(mine)
+            want[fp] = (len(mine), qp, p)
+        assert got == want
+
+
+def test_metadata_only_without_options_or_if_asked(spark):
+    fps = lcg_range(spark, 1, 3, 50)
+    maps = spark.createDataFrame([(1, "m", 5)], "fp_id long, mbid string, track_id long")
+    found = lambda **o: search.band_query(as_queries(spark, lcg(1, 50)), bands.band_postings(fps), fps, mappings=maps, **o)
+    assert "mbid" in found().columns and "mbid" not in found(options=QueryOptions(max_candidates=5)).columns
+    assert found(options=QueryOptions(include_metadata=True)).first().mbid == "m"
+
+
 def test_band_query_options_and_empty(spark):
     fps = lcg_range(spark, 1, 8, 50)
     index = bands.band_postings(fps)

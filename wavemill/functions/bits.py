@@ -19,8 +19,13 @@ def quantized(value: Column | str, qbits: int) -> Column:
     return (F.col(value) if isinstance(value, str) else value).bitwiseAND(F.lit(quantize_mask(qbits)))
 
 
+def _number(tuning: BandTuning) -> str:
+    """The type of band values and buckets; only a band of all 32 bits doesn't fit the smaller one."""
+    return "int" if tuning.bits_per_band < 32 else "bigint"
+
+
 def band_of(value: Column, band: int, tuning: BandTuning) -> Column:
-    return F.shiftrightunsigned(value, band * tuning.bits_per_band).bitwiseAND(F.lit(tuning.buckets_per_band - 1)).cast("int")
+    return F.shiftrightunsigned(value, band * tuning.bits_per_band).bitwiseAND(F.lit(tuning.buckets_per_band - 1)).cast(_number(tuning))
 
 
 def extract_bands(value: Column | str, tuning: BandTuning) -> Column:
@@ -30,7 +35,7 @@ def extract_bands(value: Column | str, tuning: BandTuning) -> Column:
 
 
 def bucket_of(band: Column, band_value: Column, tuning: BandTuning) -> Column:
-    return (band * F.lit(tuning.buckets_per_band) + band_value).cast("int")
+    return (band * F.lit(tuning.buckets_per_band) + band_value).cast(_number(tuning))
 
 
 def overlap(left: Column, right: Column, offset: Column) -> Column:

@@ -6,27 +6,64 @@ the same plan.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavemill.functions.bits import bit_errors, class_name, classify, overlap, quantized
+from wavemill.functions.bits import bit_errors, bucket_of, class_name, classify, overlap, quantized
 from wavemill.operators.bands import exploded_bands
-from wavemill.tuning import BandTuning, HitOptions, PostingTuning, QueryOptions
+from wavemill.tuning import DEFAULTS, BandTuning, HitOptions, PostingTuning, QueryOptions
 
 
 #: Query rows up to which a batch of queries is sent to every executor (some 10 MB); a larger batch is shuffled.
 SENT_ROWS = 200_000
+#: Parts into which the postings of one key fall when they are shuffled to a large batch, which goes to each part.
+SPREAD = 16
+#: Different keys up to which a batch also filters the scan, and the ranges that then cover the keys.
+PROBED_KEYS, RANGES = 4096, 16
+
+
+def covering(keys: list[int], most: int = RANGES) -> list[tuple[int, int]]:
+    """At most ``most`` ranges that hold all keys, cut where the keys lie furthest apart."""
+    keys = sorted(set(keys))
+    if keys and 2 * len(keys) > keys[-1] - keys[0]:  # gaps this narrow spare nothing
+        return [(keys[0], keys[-1])]
+    gaps = sorted(sorted(range(1, len(keys)), key=lambda i: keys[i - 1] - keys[i])[: most - 1])
+    return [(keys[a], keys[b - 1]) for a, b in zip([0, *gaps], [*gaps, len(keys)])] if keys else []
+
+
+def probed(index: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows of an index whose ``column`` lies in a range that the keys (one column) take up.
+
+    Few keys become ranges in the scan's own filter, so a file sorted by the column is read where they lie and nowhere
+    else. Many keys lie everywhere, and the index stays as it is.
+    """
+    some = [r[0] for r in keys.where(F.col(keys.columns[0]).isNotNull()).distinct().limit(PROBED_KEYS + 1).collect()]
+    if len(some) > PROBED_KEYS:
+        return index
+    within = [F.col(column).between(low, high) if low < high else F.col(column) == low for low, high in covering(some)]
+    return index.where(reduce(or_, within)) if within else index.where(F.lit(False))
 
 
 def _met(queries: DataFrame, index: DataFrame, keys: list[str], rows: int) -> DataFrame:
-    """The join of exploded queries with an index, placed so that what follows is grouped without another shuffle.
+    """The join of exploded queries with an index; ``rows`` bounds the rows of ``queries``.
 
-    A small batch goes to every executor and the index is spread by id: all that one id meets then lies in one place,
-    and the many joined rows are counted where they arise. ``rows`` bounds the rows of ``queries``.
+    A batch of up to ``SENT_ROWS`` goes to every executor and probes the index where it lies, so only postings that meet
+    a query are moved at all. These are placed by id and multiplied with the queries there: all that an id meets is
+    counted in place, while the meetings, many times as many as the postings, are never shuffled. For a larger batch
+    both sides are shuffled by key and by a part of the fingerprints, so that a frequent key is no single task.
     """
     if rows <= SENT_ROWS:
-        return index.repartition("fp_id").join(F.broadcast(queries), keys)
-    return queries.join(index, keys)
+        # the probe goes below the steps that make postings distinct or count them
+        met = index.join(F.broadcast(queries.select(*keys).distinct()), keys, "left_semi")
+        # a given number of parts, since the few bytes of what meets would be put together into few tasks
+        spark = queries.sparkSession
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        return met.repartition(parts, "fp_id").join(F.broadcast(queries), keys)
+    parts = queries.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return index.withColumn("_part", F.pmod(F.xxhash64("fp_id"), F.lit(SPREAD)).cast("int")).join(parts, [*keys, "_part"]).drop("_part")
 
 
 def _values(queries: DataFrame) -> int:
@@ -38,24 +75,28 @@ def band_matches(queries: DataFrame, postings: DataFrame, tuning: BandTuning = B
     first meeting lies (in order of query position, band, main before overflow, position).
 
     Both sides are counted before the join: query bands by (qid, band, value) and postings by (band, value, id), so
-    repeated bands and a bucket's repeated postings of one id cross the join once; counts multiply and firsts are
-    minima, so the result is that of joining every row.
+    repeated bands and a bucket's repeated postings of one id cross the join once, and an id with a third of all rows
+    is at most one row for each bucket; counts multiply and firsts are minima, so the result is that of joining every row.
     """
     q = exploded_bands(queries, "qid", tuning, "qpos").groupBy("qid", "band", "band_value").agg(F.count(F.lit(1)).alias("qn"), F.min("qpos").alias("q1"))
-    parts = postings.select("band", "band_value", "fp_id", "pos", F.lit(0).alias("late"))
-    if overflow is not None:
-        parts = parts.unionByName(overflow.select("band", "band_value", "fp_id", "pos", F.lit(1).alias("late")))
-    parts = parts.where(F.col("fp_id").isNotNull() & F.col("pos").isNotNull())
+    wanted = q.select(bucket_of(F.col("band"), F.col("band_value"), tuning).alias("bucket"))
+
+    def part(index: DataFrame, late: int) -> DataFrame:
+        rows = probed(index, wanted, "bucket") if "bucket" in index.columns else index
+        rows = rows.select("band", "band_value", "fp_id", "pos", F.lit(late).alias("late"))
+        return rows.where(F.col("fp_id").isNotNull() & F.col("pos").isNotNull())
+
+    parts = part(postings, 0) if overflow is None else part(postings, 0).unionByName(part(overflow, 1))
     p = parts.groupBy("band", "band_value", "fp_id", "late").agg(F.count(F.lit(1)).alias("pn"), F.min("pos").alias("p1"))
     met = _met(q, p, ["band", "band_value"], _values(queries) * tuning.num_bands)
     # the order of the meetings as one number, query position, 5 bits of band, 1 bit late, 26 bits of position: a
     # number aggregates by hash, a struct only by sorting
-    order = F.shiftleft(F.col("q1").cast("bigint"), 32) + F.col("band") * F.lit(1 << 27) + F.col("late") * F.lit(1 << 26) + F.col("p1")
+    order = F.shiftleft(F.col("q1").cast("bigint"), 32) + F.shiftleft(F.col("band").cast("bigint"), 27) + F.shiftleft(F.col("late").cast("bigint"), 26) + F.col("p1")
     both = met.groupBy("qid", "fp_id").agg(F.sum(F.col("qn") * F.col("pn")).alias("matches"), F.min(order).alias("first"))
     return both.select("qid", "fp_id", "matches", F.shiftright("first", 32).cast("int").alias("qpos"), F.col("first").bitwiseAND(F.lit((1 << 26) - 1)).cast("int").alias("pos"))
 
 
-def band_candidates(queries: DataFrame, postings: DataFrame, tuning: BandTuning = BandTuning(), options: QueryOptions = QueryOptions(), overflow: DataFrame | None = None) -> DataFrame:
+def band_candidates(queries: DataFrame, postings: DataFrame, tuning: BandTuning = BandTuning(), options: QueryOptions = DEFAULTS, overflow: DataFrame | None = None) -> DataFrame:
     """The candidates of each query that reach the threshold, the best ``max_candidates`` by matches, then id.
 
     The adaptive threshold is 2 % of the query's bands, at least 3.
@@ -100,7 +141,7 @@ def _current(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n", "_order")
 
 
-def band_query(queries: DataFrame, postings: DataFrame, fingerprints: DataFrame, *, tuning: BandTuning = BandTuning(), options: QueryOptions = QueryOptions(), mappings: DataFrame | None = None, overflow_postings: DataFrame | None = None, overflow_fingerprints: DataFrame | None = None, overflow_mappings: DataFrame | None = None) -> DataFrame:
+def band_query(queries: DataFrame, postings: DataFrame, fingerprints: DataFrame, *, tuning: BandTuning = BandTuning(), options: QueryOptions = DEFAULTS, mappings: DataFrame | None = None, overflow_postings: DataFrame | None = None, overflow_fingerprints: DataFrame | None = None, overflow_mappings: DataFrame | None = None) -> DataFrame:
     """Matches ``(qid, fp_id, ber, score, score_name, matches, offset, rank)``, with ``mbid``, ``track_id`` and
     ``metadata`` if mappings are given and wanted; best bit error rate first, then id.
 
@@ -128,10 +169,10 @@ def full_query(queries: DataFrame, postings: DataFrame, *, tuning: PostingTuning
     has ``min_hits``; the best ``top_k`` are ranked by votes, absolute offset, offset and id. Overflow postings vote
     beside the main ones.
     """
-    all_ = postings if overflow is None else postings.unionByName(overflow)
     q = queries.select("qid", F.posexplode("values").alias("p", "v")).where(F.col("v").isNotNull())
     q = q.select("qid", "p", quantized("v", tuning.qbits).alias("hash"))
-    votes = _met(q, all_, ["hash"], _values(queries)).select("qid", "fp_id", (F.col("ordinal") * tuning.stride - F.col("p")).alias("delta"))
+    parts = [probed(index, q.select("hash"), "hash") for index in (postings, overflow) if index is not None]
+    votes = _met(q, reduce(DataFrame.unionByName, parts), ["hash"], _values(queries)).select("qid", "fp_id", (F.col("ordinal") * tuning.stride - F.col("p")).alias("delta"))
     # an offset short of the votes can't be its fingerprint's answer, so it goes before the best one is sought
     votes = votes.groupBy("qid", "fp_id", "delta").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= options.hits)
     # most votes, then the smaller absolute offset, then the smaller one, as one number (28, 34 and 1 bits)

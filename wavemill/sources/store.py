@@ -21,7 +21,7 @@ from wavemill.errors import CorruptOverflow, DatasetMismatch, NoDataStore, NoInd
 from wavemill.functions import codec
 from wavemill.operators import bands, overlay, postings, search, stats
 from wavemill.schema import TABLES
-from wavemill.tuning import MAX_VALUES, BandTuning, HitOptions, PostingTuning, QueryOptions
+from wavemill.tuning import DEFAULTS, MAX_VALUES, BandTuning, HitOptions, PostingTuning, QueryOptions
 
 log = logging.getLogger("wavemill")
 
@@ -151,7 +151,8 @@ class Dataset:
         return rows if self.manifest["include_text"] else rows.withColumn("metadata", F.lit(None).cast(TABLES["mappings"]["metadata"].dataType))
 
     def _write(self, name: str, rows: DataFrame) -> str:
-        columns = [F.col(f.name).cast(f.dataType) for f in TABLES[name]]
+        wide = ("bucket", "band_value") if name == "band_postings" and self.band_tuning.bits_per_band == 32 else ()
+        columns = [F.col(f.name).cast("bigint" if f.name in wide else f.dataType) for f in TABLES[name]]
         extra = [c for c in ("added_at",) if c in rows.columns]
         folder = f"{name}/{uuid.uuid4().hex}"
         keys = LAYOUT[name]
@@ -236,7 +237,7 @@ class Dataset:
     def posting_list(self, bucket: int) -> DataFrame:
         return bands.posting_list(self._need("band_postings", NoSearchIndex), bucket, self._overflow("band_postings"))
 
-    def query(self, queries: DataFrame, options: QueryOptions = QueryOptions()) -> DataFrame:
+    def query(self, queries: DataFrame, options: QueryOptions = DEFAULTS) -> DataFrame:
         index = self._need("band_postings", NoSearchIndex)
         mapped = {"mappings": self._main("mappings"), "overflow_mappings": self._overflow("mappings")} if self._has("mappings") else {}
         return search.band_query(queries, index, self._need("fingerprints", NoDataStore), tuning=self.band_tuning, options=options, overflow_postings=self._overflow("band_postings"), overflow_fingerprints=self._overflow("fingerprints"), **mapped)

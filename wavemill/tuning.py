@@ -60,12 +60,13 @@ def _or(value: float | None, default: float):
 
 @dataclass(frozen=True)
 class QueryOptions:
-    """Options of the band query; what isn't positive means the default. Metadata are only off if asked for."""
+    """Options of the band query; what isn't positive means the default. Metadata come without any options, and with
+    options only if they are asked for."""
 
     max_candidates: int | None = None
     min_match_threshold: int | None = None
     max_bit_error_rate: float | None = None
-    include_metadata: bool = True
+    include_metadata: bool = False
 
     @property
     def candidates(self) -> int:
@@ -81,6 +82,10 @@ class QueryOptions:
         return float(_or(self.max_bit_error_rate, 0.35))
 
 
+#: What holds where no options are given.
+DEFAULTS = QueryOptions(include_metadata=True)
+
+
 @dataclass(frozen=True)
 class HitOptions:
     """Options of the full query; what isn't positive means the default."""
