@@ -16,8 +16,10 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,15 +54,19 @@ PRIOR, ENOUGH = 1e-4, -2.6
 PARTS = (0.02, 0.07, 0.25, 0.8)
 #: Rounds of the same or another cipher, one over the other, that are undone.
 DEPTH = 3
-#: Words that one task of the learning weighs.
-WORDS_PER_TASK = 10_000
+#: Words that one task of the learning weighs, and words (or pairs of text and word) that are weighed at a time.
+WORDS_PER_TASK, CHUNK = 10_000, 20_000
 #: Words a worker remembers.
 REMEMBERED = 1 << 17
+#: Readings less likely than the word by more than this are left out of a document's odds, of which each is 10 ** -6.
+HOPELESS = -16.0
+#: Least probability of a reading for it to count in the bigrams.
+SEEN = 1e-2
 
 #: Code points that stand for whole categories in folded words, and the cost (log odds) of one character of such.
 FIRST_CLASS, RARE = 0xE000, math.log(1000)
 
-_SPACES = re.compile(r"[ \t\r\n]+")
+_SPACES = re.compile(r"[ \t\r\n\f\v]+")
 _BEYOND = re.compile(r"[^\x00-\x7f]")
 #: Only words with one of these are weighed: a no-break space alone tells nothing.
 _SUSPECT = re.compile(r"[^\x00-\x7f\xa0]")
@@ -228,16 +234,210 @@ class Reader:
         return out
 
 
+@cache
+def _symbols() -> tuple[list[str], np.ndarray]:
+    """The bounded alphabet of folded words, and the symbol of each code point up to 0xFFFF."""
+    symbols = [chr(i) for i in range(128)] + sorted(c for c in _KNOWN if c > "\x7f") + [chr(o) for o in range(0x3041, 0x3100)] + ["一", "\x80"] + [chr(FIRST_CLASS + i) for i in range(7)]
+    code = {c: i for i, c in enumerate(symbols)}
+    return symbols, np.fromiter((code[folded(chr(o))[1:2]] for o in range(0x10000)), np.int16, 0x10000)
+
+
+def _spread(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all words, each between '^' and '$', where each begins and how many it has."""
+    points = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    return points, np.cumsum(sizes) - sizes, sizes
+
+
+def _codes(points: np.ndarray) -> np.ndarray:
+    """The symbol of each code point."""
+    out = _symbols()[1][np.minimum(points, 0xFFFF)]
+    for o in np.unique(points[points > 0xFFFF]):
+        out[points == o] = len(_symbols()[0]) - 7 + "LMNPSZC".index(unicodedata.category(chr(o))[0])
+    return out
+
+
+class Matrix:
+    """The bigrams as arrays: log probabilities of whole lists of words at once."""
+
+    def __init__(self, lm: Bigrams):
+        symbols = _symbols()[0]
+        n, code = len(symbols), {c: i for i, c in enumerate(symbols)}
+        counts = np.zeros((n, n))
+        for p, x in lm.pair.items():
+            counts[code[p[0]], code[p[1]]] = x
+        share = (counts.sum(0) + 0.01) / lm.total
+        self.n = n
+        self.step = np.log((counts + 2.0 * share) / (counts.sum(1)[:, None] + 2.0))
+        self.step[:, n - 7 :] -= RARE
+        # pairs with a letter of the pages after and before, and what all such letters between two symbols weigh together
+        letter = np.array([c > "\x7f" and c in _KNOWN for c in symbols])
+        odds = np.exp(self.step)
+        self.after, self.before = odds * (counts > 0) * letter, odds * (counts > 0) * letter[:, None]
+        self.between = self.after @ self.before
+        signs = np.full(20992, 0.1)
+        for c, x in lm.sign.items():
+            signs[ord(c) - 0x4E00] += x
+        self.sign = np.log(signs / lm.signs)
+
+    def sums(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        steps = np.append(self.step.ravel()[codes[:-1].astype(np.int32) * self.n + codes[1:]], 0.0)
+        steps[starts[1:] - 1] = 0.0
+        return np.add.reduceat(steps, starts)
+
+    def log(self, words: list[str]) -> np.ndarray:
+        if not words:
+            return np.zeros(0)
+        points, starts, _ = _spread([unicodedata.normalize("NFC", w) for w in words])
+        out = self.sums(_codes(points), starts)
+        ideographs_ = (points >= 0x4E00) & (points <= 0x9FFF)
+        if ideographs_.any():
+            extra = np.zeros(len(points))
+            extra[ideographs_] = self.sign[points[ideographs_] - 0x4E00]
+            out += np.add.reduceat(extra, starts)
+        return out
+
+    def gain(self, a: np.ndarray, d: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """As ``Bigrams.letters``, without the shares."""
+        others = self.between[a, b] - self.after[a, d] * self.before[d, b] - np.where(c == d, 0.0, self.after[a, c] * self.before[c, b])
+        return np.log(1 - ODD + ODD / LETTERS * np.maximum(others, 0.0) * np.exp(np.minimum(-self.step[a, d] - self.step[d, b], 200.0)))
+
+
+@cache
+def _bytes_of(page: str) -> np.ndarray:
+    """The byte of each code point up to 0xFFFF, -1 for those that the page doesn't have."""
+    out = np.full(0x10000, -1, np.int16)
+    out[:128] = np.arange(128)
+    for c, b in _OF[page].items():
+        out[ord(c)] = b
+    return out
+
+
+class Weigher:
+    """Readings of whole lists of words under all ciphers of a reader, as arrays."""
+
+    def __init__(self, reader: Reader, lm: Matrix):
+        self.reader, self.lm = reader, lm
+        fold, bad = _symbols()[1], _symbols()[1][0x80]
+        self.narrow = defaultdict(list)  # by page: cipher, symbol of each byte, flags (1: another letter, 2: no text)
+        for name, table in reader.narrow.items():
+            read = name.rstrip("*").split(">")[0]
+            letters = [chr(b) if b < 128 else _LETTER[read][b].translate(table) for b in range(256)]
+            codes = np.array([fold[ord(c[:1])] for c in letters], np.int16)
+            moved = np.array([b > 127 and c != _LETTER[read][b] for b, c in enumerate(letters)])
+            self.narrow[read].append((name, codes, (moved | ((codes == bad) & (np.arange(256) > 127)) * 2).astype(np.uint8)))
+        self.wide = defaultdict(list)
+        for name in reader.names:
+            if name not in reader.narrow:
+                self.wide[name.split(">")[0]].append(name)
+
+    def readings(self, words: list[str], letters: bool) -> Iterator[tuple[str, np.ndarray, np.ndarray, list[str] | None]]:
+        """Cipher, which words it reads, log probabilities of the readings, and the readings themselves where a cipher
+        has several bytes a letter. With ``letters`` a reading by single bytes gains by another letter (``_weighed``)."""
+        points, starts, sizes = _spread(words)
+        low, codes = np.minimum(points, 0xFFFF), _codes(points) if letters else None
+        for read in self.reader.pages:
+            data = _bytes_of(read)[low]
+            whole = np.minimum.reduceat(data, starts) >= 0
+            rows = np.flatnonzero(whole)
+            if len(rows) and self.narrow[read]:
+                inside = np.repeat(whole, sizes)
+                b, n = data[inside].astype(np.uint8), sizes[rows]
+                at = np.cumsum(n) - n
+                if letters:
+                    beyond = np.flatnonzero(b > 127)
+                    c = codes[inside][beyond]
+                    first = np.searchsorted(beyond, at)
+                for name, table, flags in self.narrow[read]:
+                    ok = np.bitwise_or.reduceat(flags[b], at) == 1
+                    if not ok.any():
+                        continue
+                    code = table[b]
+                    score = self.lm.sums(code, at)
+                    if letters:
+                        g = self.lm.gain(code[beyond - 1], code[beyond], code[beyond + 1], c)
+                        score = score + np.maximum(np.maximum.reduceat(g, first), 0.0)
+                    yield name, rows[ok], score[ok], None
+            for name in self.wide[read]:
+                if name in self.reader.patterns:  # a lead byte and one that continues it
+                    met = np.zeros(len(points), bool)
+                    met[:-1] = (data[:-1] >= 0xC2) & (data[:-1] < 0xF5) & (data[1:] >= 0x80) & (data[1:] < 0xC0)
+                    some = np.flatnonzero(np.logical_or.reduceat(met, starts))
+                    got = [(i, words[i], self.reader.once(words[i], name)) for i in some.tolist()]
+                else:
+                    ends = np.cumsum(sizes[rows])
+                    got = self._decoded(data[np.repeat(whole, sizes)].astype(np.uint8).tobytes(), name.split(">")[1], rows, ends, words)
+                yield from self._wide(name, got)
+
+    def _decoded(self, data: bytes, written: str, rows: np.ndarray, ends: np.ndarray, words: list[str]) -> list[tuple[int, str, str]]:
+        """What the bytes of words mean in a Japanese encoding, of those that are text in it."""
+        got, at = [], 0
+        for i, end in zip(rows.tolist(), ends.tolist()):
+            try:
+                text = data[at + 1 : end - 1].decode(written)
+                if _JAPANESE.search(text):
+                    got.append((i, words[i], text))
+            except UnicodeDecodeError:
+                pass
+            at = end
+        return got
+
+    def _wide(self, name: str, got: list[tuple[int, str, str]]) -> Iterator[tuple[str, np.ndarray, np.ndarray, list[str]]]:
+        """A cipher of several bytes a letter, undone again as long as the result is more likely (what was Japanese isn't of
+        any page, so only UTF-8 comes again)."""
+        once, again_ = self.reader.once, name in self.reader.patterns
+        got = [x for x in got if x[2] != x[1]]
+        texts, open_ = [t for *_, t in got], list(range(len(got))) if again_ else []
+        scores = self.lm.log(texts)
+        for _ in range(DEPTH - 1):
+            again = [(k, t) for k in open_ if (t := once(texts[k], name)) is not None and t != texts[k]]
+            better = self.lm.log([t for _, t in again])
+            open_ = []
+            for (k, t), x in zip(again, better):
+                if x > scores[k]:
+                    texts[k], scores[k] = t, x
+                    open_.append(k)
+        kept = [k for k, t in enumerate(texts) if t != got[k][1] and not _NO_TEXT.search(t)]
+        if kept:
+            yield name, np.array([got[k][0] for k in kept]), scores[kept], [texts[k] for k in kept]
+
+
+def _bigram_counts(words: list[str], n: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Bigrams of folded words and how often they occur; single characters are ideographs."""
+    if not words:
+        return [], np.zeros(0)
+    symbols = _symbols()[0]
+    points, starts, sizes = _spread([unicodedata.normalize("NFC", w) for w in words])
+    codes, weight = _codes(points).astype(np.int64), np.repeat(n, sizes)
+    pairs = codes[:-1] * len(symbols) + codes[1:]
+    inside = np.ones(len(pairs), bool)
+    inside[starts[1:] - 1] = False
+    keys, back = np.unique(pairs[inside], return_inverse=True)
+    sums = np.bincount(back, weights=weight[:-1][inside])
+    signs, back = np.unique(points[(points >= 0x4E00) & (points <= 0x9FFF)], return_inverse=True)
+    more = np.bincount(back, weights=weight[(points >= 0x4E00) & (points <= 0x9FFF)], minlength=len(signs))
+    return [symbols[k // len(symbols)] + symbols[k % len(symbols)] for k in keys.tolist()] + [chr(o) for o in signs], np.r_[sums, more]
+
+
+def _suspects(text: bytes) -> list[str]:
+    """The words of a text in UTF-8 that are weighed, as often as they stand there."""
+    return [w for x in text.split() if not x.isascii() and _SUSPECT.search(w := x.decode())]
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suspect words by source group; of all others only their bigrams, under the group -1."""
     for batch in batches:
-        counts: Counter = Counter()
-        for group, text in zip(batch.column("grp").to_pylist(), batch.column("text").to_pylist()):
-            for word, n in Counter(_SPACES.split(text)).items():
-                if word:
-                    for k in range(0, len(word), 64):  # long unbroken strings count in pieces
-                        counts[group if _SUSPECT.search(word) else -1, word[k : k + 64]] += n
-        if counts:
-            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in counts], pa.int32()), pa.array([w for _, w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["grp", "word", "n"])
+        plain: Counter = Counter()
+        counts: dict[int, Counter] = defaultdict(Counter)
+        for group, text in zip(batch.column("grp").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+            plain.update(text.split())
+            if not text.isascii():
+                counts[group].update(_suspects(text))
+        others = {w: n for x, n in plain.items() if not _SUSPECT.search(w := x.decode())}
+        keys, sums = _bigram_counts(list(others), np.fromiter(others.values(), float, len(others)))
+        rows = [(-1, k, int(x)) for k, x in zip(keys, sums)] + [(g, w, n) for g, c in counts.items() for w, n in c.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.int64()))], names=["grp", "word", "n"])
 
 
 def _add_bigrams(counts: dict, word: str, n: float) -> None:
@@ -249,11 +449,9 @@ def _add_bigrams(counts: dict, word: str, n: float) -> None:
 
 
 def _bigrams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, float] = defaultdict(float)
     for batch in batches:
-        for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
-            _add_bigrams(counts, word, n)
-    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.float64())], names=["k", "x"])
+        keys, sums = _bigram_counts(batch.column("word").to_pylist(), batch.column("n").to_numpy().astype(float))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(sums)], names=["k", "x"])
 
 
 def _weighed(word: str, text: str, lm: Bigrams) -> tuple[float, list[tuple[str, str, list[tuple[str, float]], bool]]]:
@@ -270,24 +468,6 @@ def _weighed(word: str, text: str, lm: Bigrams) -> tuple[float, list[tuple[str,
     return gain, out
 
 
-def _posterior(word: str, readers: list[Reader], lm: Bigrams, weight) -> list[tuple[str | None, str, float, list]]:
-    """Cipher, text as read, probability, and the letters behind its bytes; for no cipher the word itself."""
-    readings = {name: text for reader in readers for name, text in reader.readings(word, lm.log).items()}
-    narrow = {name for reader in readers for name in reader.narrow}
-    for name in [n for n in readings if n.endswith("*")]:  # where both read the same, the words are those of the source's own
-        if readings.get(name.rstrip("*")) == readings[name]:
-            del readings[name.rstrip("*")]
-    score = {text: lm.log(text) for text in {word, *readings.values()}}
-    found = [(None, word, score[word], [])]
-    for name, text in readings.items():
-        gain, letters = _weighed(word, text, lm) if name in narrow else (0.0, [])
-        found.append((name, text, math.log(weight(name)) + score[text] + gain, letters))
-    top = max(s for _, _, s, _ in found)
-    odds = [math.exp(s - top) for _, _, s, _ in found]
-    total = sum(odds)
-    return [(name, text, o / total, letters) for (name, text, _, letters), o in zip(found, odds) if o > 1e-6 * total]
-
-
 def _likeliest(text: str, letters: list[tuple[str, str, list[tuple[str, float]], bool]], word: str) -> str:
     """The text with those letters replaced that are more likely others."""
     if not any(others for _, _, others, _ in letters):
@@ -299,31 +479,68 @@ def _likeliest(text: str, letters: list[tuple[str, str, list[tuple[str, float]],
     return "".join(out)
 
 
+def _expected(words: list[str], groups: np.ndarray, n: np.ndarray, lm: Bigrams, matrix: Matrix, reader: Reader, own: dict[int, Reader], weights: dict[tuple[int, str], float], out: dict[tuple[str, str], float]) -> None:
+    """Adds to ``out`` what is expected of some words: see ``_expect``."""
+    names = [*reader.names, *sorted({name for r in own.values() for name in r.names})]
+    column = {name: i + 1 for i, name in enumerate(names)}
+    there, at = np.unique(groups, return_inverse=True)
+    weigh = np.log([[weights.get((g, c), PRIOR) for c in names] for g in there.tolist()])
+    score = np.full((len(words), len(names) + 1), -np.inf)
+    score[:, 0] = matrix.log(words)
+    texts: dict[tuple[int, int], str] = {}
+    readers = [(reader, np.arange(len(words)))] + [(own[g], np.flatnonzero(groups == g)) for g in there.tolist() if g in own]
+    for r, some in readers:
+        mine = words if len(some) == len(words) else [words[i] for i in some]
+        for name, rows, s, read in Weigher(r, matrix).readings(mine, True):
+            k, rows_ = column[name], some[rows]
+            if name.endswith("*"):  # where both read the same, the words are those of the source's own
+                base = r.narrow[name], reader.narrow.get(name.rstrip("*"), {})
+                same = [i for i in rows_.tolist() if words[i].translate(base[0]) == words[i].translate(base[1])]
+                score[same, column.get(name.rstrip("*"), k)] = -np.inf
+            score[rows_, k] = s + weigh[at[rows_], k - 1]
+            if read is not None:
+                texts.update(((i, k), t) for i, t in zip(rows_.tolist(), read))
+    p = np.exp(score - score.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    for g, x in zip(there.tolist(), np.bincount(at, weights=n)):
+        out["words", str(g)] += x
+    for k, x in zip(*_bigram_counts(words, p[:, 0] * n)):
+        out["bigram", k] += x
+    for k in np.flatnonzero((p[:, 1:] > 1e-6).any(0)).tolist():
+        for g, x in zip(there.tolist(), np.bincount(at, weights=p[:, k + 1] * n, minlength=len(there))):
+            if x > 0:
+                out["cipher", f"{g}|{names[k]}"] += x
+    for i, k in zip(*(x.tolist() for x in np.nonzero(p[:, 1:] > SEEN))):
+        word, name, group, x = words[i], names[k], int(groups[i]), float(p[i, k + 1])
+        text, letters = texts.get((i, k + 1)), []
+        if text is None:
+            text = (own[group] if name.endswith("*") else reader).once(word, name)
+            letters = _weighed(word, text, lm)[1]
+        read: dict[str, float] = defaultdict(float)
+        _add_bigrams(read, _likeliest(text, letters, word), x * float(n[i]))
+        for key, y in read.items():
+            out["bigram", key] += y
+        for c, d, others, inside in letters if x > SURE else ():
+            out["letter", f"{group}|{name}|{c}{d}"] += x * (1 - sum(share for _, share in others))
+            for y, share in others:
+                out["letter", f"{group}|{name}|{c}{y}"] += x * share
+            if inside:
+                out["inside", f"{group}|{name}|{c}"] += x
+
+
 def _expect(shared):
     """E-step over words: expected counts of ciphers by source group, of bigrams as read, of letters by byte."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, weights, tables = shared.value
         lm, reader = Bigrams(counts), Reader()
+        matrix = Matrix(lm)
         own = {group: Reader(list(t), t) for group, t in tables.items()}
         out: dict[tuple[str, str], float] = defaultdict(float)
         for batch in batches:
-            for group, word, n in zip(batch.column("grp").to_pylist(), batch.column("word").to_pylist(), batch.column("n").to_pylist()):
-                readers = [reader, own[group]] if group in own else [reader]
-                for name, text, p, letters in _posterior(word, readers, lm, lambda c: weights.get((group, c), PRIOR)):
-                    read: dict[str, float] = defaultdict(float)
-                    _add_bigrams(read, _likeliest(text, letters, word), p * n)
-                    for k, x in read.items():
-                        out["bigram", k] += x
-                    if name is not None:
-                        out["cipher", f"{group}|{name}"] += p * n
-                        for c, d, others, inside in letters if p > SURE else ():
-                            out["letter", f"{group}|{name}|{c}{d}"] += p * (1 - sum(share for _, share in others))
-                            for x, share in others:
-                                out["letter", f"{group}|{name}|{c}{x}"] += p * share
-                            if inside:
-                                out["inside", f"{group}|{name}|{c}"] += p
-                    out["words", str(group)] += p * n
+            for k in range(0, len(batch), CHUNK):
+                part = batch.slice(k, CHUNK)
+                _expected(part.column("word").to_pylist(), part.column("grp").to_numpy(), part.column("n").to_numpy().astype(float), lm, matrix, reader, own, weights, out)
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.string()), pa.array([v for _, v in out], pa.string()), pa.array(list(out.values()), pa.float64())], names=["kind", "k", "x"])
 
     return run
@@ -387,7 +604,7 @@ def learn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     spark = df.sparkSession
     counts = _prepared(df, id_col, text_col, source_col).mapInArrow(_word_counts, "grp int, word string, n long")
     words = materialise(counts.groupBy("grp", "word").agg(F.sum("n").alias("n")), "words")
-    plain = words.where("grp < 0").mapInArrow(_bigrams_of, "k string, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()
+    plain = words.where("grp < 0").select(F.col("word").alias("k"), F.col("n").cast("double").alias("x")).collect()
     suspects = words.where("grp >= 0")
     # a word takes far more time than bytes, so tasks are cut by words
     suspects = suspects.repartition(max(spark.sparkContext.defaultParallelism, suspects.count() // WORDS_PER_TASK))
@@ -441,6 +658,10 @@ class Judge:
         self.reader = Reader([c for c in ciphers() if c in active])
         self.own = {group: Reader(list(t), t) for group, t in model.tables.items()}
         self.known: dict[tuple[int, str, int], list[tuple[str, str, float]]] = {}
+        self.near: dict[tuple[int, str], tuple[np.ndarray, np.ndarray]] = {}
+        self.number: dict[str, int] = {}
+        self.matrix: Matrix | None = None
+        self.weighers: dict[int, list[Weigher]] = {}
 
     def gains(self, word: str, group: int, depth: int = DEPTH) -> list[tuple[str, str, float]]:
         """Ciphers, what they make of the word, and by how much that is more likely; with the group's own ciphers."""
@@ -470,18 +691,85 @@ class Judge:
     def prior(self, name: str, group: int) -> float:
         return math.log(max(self.m.weights.get((group, name), 0.0), PRIOR))
 
+    def weigh(self, texts: Iterable[tuple[int, list[str]]]) -> Iterator[tuple[str | None, float]]:
+        """The likeliest cipher of each text (source group and suspect words) and its log odds, prior included.
+
+        The different words of some texts are weighed at once and their gains remembered.
+        """
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+        for text in texts:
+            held.append(text)
+            size += len(text[1])
+            if size > 10 * CHUNK:
+                yield from self._weigh(held)
+                held, size = [], 0
+        yield from self._weigh(held)
+
+    def _gains_of(self, words: list[str], readers: list[Weigher], group: int) -> None:
+        """Remember of each word the ciphers (by number) that read it, and their gains."""
+        for k in range(0, len(words), CHUNK):
+            part = words[k : k + CHUNK]
+            base, rows, ciphers_, gains = self.matrix.log(part), [], [], []
+            for weigher in readers:
+                for name, some, score, _ in weigher.readings(part, False):
+                    gain = score - base[some]
+                    near = gain > HOPELESS
+                    rows.append(some[near]), gains.append(gain[near])
+                    ciphers_.append(np.full(near.sum(), self.number.setdefault(name, len(self.number))))
+            rows_, c, g = (np.concatenate(x) if x else np.zeros(0, int) for x in (rows, ciphers_, gains))
+            order = np.argsort(rows_, kind="stable")
+            ends = np.cumsum(np.bincount(rows_, minlength=len(part)))
+            for w, c_, g_ in zip(part, np.split(c[order], ends[:-1]), np.split(g[order], ends[:-1])):
+                self.near[group, w] = c_, g_
+
+    def _weigh(self, texts: list[tuple[int, list[str]]]) -> Iterator[tuple[str | None, float]]:
+        if len(self.near) > REMEMBERED:
+            self.near.clear()
+        if not self.weighers:
+            self.matrix = Matrix(self.lm)
+            self.weighers[-1] = [Weigher(self.reader, self.matrix)]
+            self.weighers |= {g: [*self.weighers[-1], Weigher(r, self.matrix)] for g, r in self.own.items()}
+        lists = []
+        for group in {g if g in self.own else -1 for g, _ in texts}:
+            new = {w for g, words in texts if (g if g in self.own else -1) == group for w in words if (group, w) not in self.near}
+            if new:
+                self._gains_of(sorted(new), self.weighers[group], group)
+        for k, (g, words) in enumerate(texts):
+            group = g if g in self.own else -1
+            lists += [(k, *self.near[group, w]) for w in words if len(self.near[group, w][0])]
+        if not lists:
+            yield from ((None, -math.inf) for _ in texts)
+            return
+        n = [len(c) for _, c, _ in lists]
+        key = np.repeat([k for k, *_ in lists], n) * len(self.number) + np.concatenate([c for _, c, _ in lists])
+        gain = np.minimum(np.concatenate([g for *_, g in lists]), 50.0)
+        keys, back = np.unique(key, return_inverse=True)
+        doc, cipher = keys // len(self.number), keys % len(self.number)
+        sizes = np.array([len(words) for _, words in texts], float)[doc]
+        odds = np.max([sizes * math.log1p(-share) + np.bincount(back, weights=np.log1p(share * np.expm1(gain)) - math.log1p(-share)) for share in PARTS], 0)
+        names = list(self.number)
+        odds = odds + [self.prior(names[c], texts[k][0]) for k, c in zip(doc.tolist(), cipher.tolist())]
+        best: dict[int, tuple[float, str]] = {}
+        for k, c, x in zip(doc.tolist(), cipher.tolist(), odds.tolist()):
+            if k not in best or x > best[k][0]:
+                best[k] = x, names[c]
+        for k in range(len(texts)):
+            yield (best[k][1], best[k][0]) if k in best else (None, -math.inf)
+
     def judge(self, text: str, group: int) -> tuple[str | None, float, str]:
         """The ciphers or None, the log odds of the likeliest in the whole text, and the text restored."""
-        suspects = [w for w in _SPACES.split(text) if _SUSPECT.search(w)]
-        if not suspects:
-            return None, 0.0, text
-        odds = {name: self.prior(name, group) + s for name, s in self.odds(suspects, group).items()}
-        best = max(odds, key=odds.get, default=None)
-        if best is None or odds[best] < ENOUGH:
-            return None, odds.get(best, -math.inf), text
+        ((name, odds),) = self.weigh([(group, _suspects(text.encode()))])
+        if name is None or odds < ENOUGH:
+            return None, odds, text
+        names, restored = self.restoration(text, group, name)
+        return names, odds, restored
+
+    def restoration(self, text: str, group: int, of_text: str) -> tuple[str, str]:
+        """The ciphers undone in the paragraphs of a text, and the text restored."""
         used: dict[str, None] = {}
-        restored = "\n".join(self.restored(part, group, best, used) for part in text.split("\n"))
-        return ", ".join(used) or best, odds[best], restored
+        restored = "\n".join(self.restored(part, group, of_text, used) for part in text.split("\n"))
+        return ", ".join(used) or of_text, restored
 
     def undone(self, word: str, text: str, name: str, group: int) -> str:
         """``text``, the word under the cipher, repeated if need be; or undone only once if another cipher then does better."""
@@ -506,17 +794,18 @@ class Judge:
                 break
             here.add(name)
             used[name] = None
-            part = re.sub(r"[^ \t\r\n]+", lambda m: fix.get(m[0], m[0]), part)  # noqa: B023
+            part = re.sub(r"[^ \t\r\n\f\v]+", lambda m: fix.get(m[0], m[0]), part)  # noqa: B023
         return part
 
 
-def garbled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", *, model: Model | None = None) -> DataFrame:
+def garbled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", *, model: Model | None = None, restore: bool = True) -> DataFrame:
     """Affected rows only: ``(id, cipher, score, restored)``.
 
     ``cipher`` names the encodings as 'read as>written as', with ``*`` if the source's own letters differ from them, and with
     commas between if paragraphs or rounds differ in it, in the order in which they are undone; it is 'lost' for a text with
     replacement characters (U+FFFD) and no other cipher, whose bytes can't be had back, and ``restored`` is null then. Words
-    that read better under the cipher of their paragraph are replaced in ``restored``, all else stays as it is.
+    that read better under the cipher of their paragraph are replaced in ``restored``, all else stays as it is. Without
+    ``restore`` the same rows come with the likeliest cipher of the whole text and a null in ``restored``.
 
     Null and empty texts are not affected; repeated rows stay; other columns are ignored. Without ``model`` it is
     learned from the same rows first.
@@ -530,12 +819,14 @@ def garbled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         j = Judge(shared.value)
         for batch in batches:
             rows, names, scores, texts = [], [], [], []
-            for i, (text, group) in enumerate(zip(batch.column("text").to_pylist(), batch.column("grp").to_pylist())):
-                if text.isascii():
-                    continue
-                name, score, restored = j.judge(text, group)
-                if name is None and "�" in text:
-                    name, restored = "lost", None
+            data, groups = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("grp").to_pylist()
+            beyond = [i for i, text in enumerate(data) if not text.isascii()]
+            for i, (name, score) in zip(beyond, j.weigh((groups[i], _suspects(data[i])) for i in beyond)):
+                restored = None
+                if score < ENOUGH:
+                    name, score = ("lost" if b"\xef\xbf\xbd" in data[i] else None), score
+                elif restore:
+                    name, restored = j.restoration(data[i].decode(), groups[i], name)
                 if name is not None:
                     rows.append(i), names.append(name), scores.append(score), texts.append(restored)
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows, pa.int64())), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(texts, pa.string())], names=["id", "cipher", "score", "restored"])
