@@ -54,10 +54,17 @@ def test_runs_with_null_elements_and_long_records(spark, monkeypatch):
     assert runs.collapse_runs(frame(spark, rows).where("false"), "id").count() == 0
 
 
-def test_symbols_of_many_events():
-    values = np.arange(100_000, dtype=np.int64) * 0x10101
-    text = runs.symbols(values, np.array([0]), 0)
-    assert len(text) == 100_000 and not len(runs.spans(text, 2))
+def test_symbols_stand_for_events(monkeypatch):
+    v = np.array([9, 9, 1000, 9, 8, 1000, 0, 3, 15, 0, 0, 0], np.int64)
+    text = runs.symbols(v, np.array([0, 11]), 2)
+    assert text[0] == text[1] == text[3] == text[4] and text[2] == text[5]  # equal events, equal symbols
+    assert text[6] == text[7] == text[8] != text[9] == text[10] != text[11]  # 15 to 0 is a jump; a new record
+    assert runs.spans(text, 2).tolist() == [[0, 2], [3, 5], [6, 9], [9, 11]]
+    many = np.arange(100_000, dtype=np.int64) * 0x10101
+    for events in (1 << 19, 7):
+        monkeypatch.setattr(runs, "EVENTS", events)
+        text = runs.symbols(many, np.array([0]), 0)
+        assert len(text) == 100_000 and not len(runs.spans(text, 2))
 
 
 @pytest.mark.parametrize("k", [1, 3, 50])
@@ -72,6 +79,20 @@ def test_frequent_values(spark, k):
     assert rows_of(topk.frequent_values(df, "v", share=0.01)) == sorted([(v, n) for v, n in counts.items() if n >= limit], key=str)
 
 
+@pytest.mark.parametrize("sent", [topk.SENT_PREFIXES, 50])
+def test_flat_column(spark, monkeypatch, sent):
+    """Where every value is as frequent as any other, the driver still gets no more than what k asks for."""
+    monkeypatch.setattr(topk, "SENT_PREFIXES", sent)
+    df = spark.range(60_000).selectExpr("id % 20000 as v")
+    got, real = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: got.append(real(self)) or got[-1])
+    frequent = topk.frequent_values(df, "v", k=100)
+    assert max(map(len, got), default=0) <= topk.BEAM * 100
+    assert [tuple(r) for r in real(frequent.orderBy("value"))] == [(v, 3) for v in range(100)]
+    once = topk.frequent_values(spark.range(500).selectExpr("id as v"), "v", k=3)
+    assert [tuple(r) for r in real(once.orderBy("value"))] == [(0, 1), (1, 1), (2, 1)]
+
+
 def test_frequent_values_edges(spark):
     df = spark.createDataFrame([("a",), ("a",), ("",), (None,)], "v string")
     assert rows_of(topk.frequent_values(df, "v", k=10)) == [("", 1), ("a", 2)]

@@ -11,22 +11,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Symbols lie in this block of code points, below the surrogates; neighbouring stretches never share one.
-FIRST_SYMBOL, N_SYMBOLS = 0x4E00, 0x5000
+#: Symbols are the code points above the basic plane, two for each event of a chunk's dictionary.
+FIRST_SYMBOL, EVENTS = 0x10000, 1 << 19
 #: Values turned into one symbol string at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def symbols(values: np.ndarray, starts: np.ndarray, max_bits: int) -> str:
     """One code point for each value: that of its canonical event.
 
-    A value belongs to the event of the value before it if they differ in at most ``max_bits`` bits; the first value
-    of a record (``starts``) always begins an event. Events are numbered, and the number gives the code point.
+    A value is taken for the event of the value before it if they differ in at most ``max_bits`` bits, so a chain of such
+    values has its first one as canonical event; the first value of a record (``starts``) always begins a chain. A
+    dictionary of the chunk's canonical events gives each its symbol, so equal events have equal symbols wherever they
+    stand. Each event has a second symbol, which it takes only where it follows itself (one record ends with it and the
+    next begins with it, or values drift away by small steps and jump back): these are two repetitions, not one.
     """
     new = np.ones(len(values), bool)
     new[1:] = np.bitwise_count(values[1:] ^ values[:-1]) > max_bits
     new[starts] = True
-    return (FIRST_SYMBOL + np.cumsum(new) % N_SYMBOLS).astype("<u4").tobytes().decode("utf-32-le")
+    first = np.flatnonzero(new)
+    _, event = np.unique(values[first], return_inverse=True)
+    event = event % EVENTS  # a single record of more events shares symbols, which the second symbol keeps apart as well
+    place = np.arange(len(event))
+    turn = (place - np.maximum.accumulate(np.where(np.r_[True, event[1:] != event[:-1]], place, 0))) % 2
+    symbol = FIRST_SYMBOL + 2 * event + turn
+    return symbol[np.cumsum(new) - 1].astype("<u4").tobytes().decode("utf-32-le")
 
 
 def spans(text: str, min_len: int) -> np.ndarray:
@@ -78,7 +87,8 @@ def collapse_runs(df: DataFrame, id_col: str = "fp_id", values_col: str = "value
     first value and the stretch's share of the duration. With ``min_len`` 1 that is the collapsed sequence.
 
     Events become code points, records become strings and a backreference finds the repetitions; a record is
-    handled inside its own row, so nothing is shuffled but the result, in which repeated rows count once.
+    handled inside its own row. Equal stretches of an id count once. With ``min_len`` 1, where the result is as long as
+    the records, only the stretches of ids with several rows are compared; those of all others are shuffled nowhere.
 
     Null and empty ``values`` give no row; a null element is a stretch of its own with a null value; a null duration
     gives a null share; a null id is kept as an id. Columns other than the three named ones are ignored.
@@ -89,4 +99,10 @@ def collapse_runs(df: DataFrame, id_col: str = "fp_id", values_col: str = "value
 
     rows = df.select(F.col(id_col).alias("id"), F.col(values_col).alias("values"), F.col(duration_col).cast("bigint").alias("duration_ms"))
     rows = rows.where(F.size("values") >= min_len)
-    return rows.mapInArrow(_run(max_bits, min_len, to_arrow_schema(out)), out).distinct()
+    runs = _run(max_bits, min_len, to_arrow_schema(out))
+    if min_len > 1:
+        return rows.mapInArrow(runs, out).distinct()
+    several = rows.groupBy("id").count().where("count > 1").select(F.col("id").alias("_id"))
+    same = F.col("id").eqNullSafe(F.col("_id"))
+    alone, again = (rows.join(several, same, how).mapInArrow(runs, out) for how in ("left_anti", "left_semi"))
+    return alone.unionByName(again.distinct())
