@@ -63,3 +63,11 @@ class NoIndex(WavemillError):
 
 class NoDataStore(WavemillError):
     """The dataset has no fingerprint table."""
+
+
+class NoSharedFolder(WavemillError):
+    """A cluster names no folder that all executors share."""
+
+
+class ConcurrentChange(WavemillError):
+    """Another writer has changed the dataset since it was opened."""

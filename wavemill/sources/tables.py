@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wavemill.errors import NoSharedFolder
+
+_FOLDERS: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,45 +19,83 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a folder of our own only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder (``spark.checkpoint.dir``).
+
+    Where none is named, a local session gets a folder of its own; on a cluster no folder of this machine would do, so
+    that is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    given = spark.sparkContext.getCheckpointDir()
-    if not given:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wavemill-"))
-        given = spark.sparkContext.getCheckpointDir()
-    return given
+    if not spark.sparkContext.master.startswith("local"):
+        raise NoSharedFolder("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wavemill-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
-def materialise(df: DataFrame, label: str, release: bool = False) -> DataFrame:
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's folder in the scratch space. It is deleted when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = f"{scratch_root(spark).rstrip('/')}/wavemill/{app}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(_FOLDERS[app])
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return _FOLDERS[app]
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet to the shared scratch folder and read it back.
 
     It cuts the lineage: the parts survive the loss of any executor, and several readers don't run the plan again.
-    Spark deletes shuffle files only when the driver has collected what made them; with ``release`` that is done
-    first, so that the steps before this one hold no disk while it runs.
     """
     spark = df.sparkSession
-    if release:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    path = f"{scratch_root(spark).rstrip('/')}/wavemill/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what :func:`materialise` wrote, once nothing reads it any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bits of the filter that goes to every executor (4 MB).
+FILTER_BITS = 1 << 25
+
+
+def thinned(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose integer ``key`` may stand in ``wanted`` (its column of that name), and some others.
+
+    It spares a semi-join the shuffle of rows that have no partner: the hashes of the wanted keys set bits in a filter of
+    fixed size, whatever the tables' sizes, and rows at an unset bit go. One row in ``FILTER_BITS`` / number of wanted
+    keys is kept wrongly, so an exact join must follow.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
+    bits = wanted.select(place.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = df.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("_bucket")).where(F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1)
+    return met.select(*df.columns)
 
 
 #: Bytes that one partition of a shuffle should hold.
 PARTITION_BYTES = 64 << 20
 
 
-def partitions_for(df: DataFrame, growth: float) -> int:
-    """Partitions for a shuffle of ``growth`` times the bytes of the tables under ``df``, at least the session's number.
+def partitions_for(df: DataFrame, growth: float, size: int | None = None) -> int:
+    """Partitions of ``size`` bytes for a shuffle of ``growth`` times the bytes of the tables under ``df``, at least the
+    session's number.
 
     Only what Spark knows of its input files counts; inputs of unknown size leave the session's number.
     """
     known = 0
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
     while leaves.hasNext():
-        size = int(str(leaves.next().stats().sizeInBytes()))
-        known += size if size < 1 << 60 else 0
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(known * growth / PARTITION_BYTES) + 1)
+        leaf = int(str(leaves.next().stats().sizeInBytes()))
+        known += leaf if leaf < 1 << 60 else 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(known * growth / (size or PARTITION_BYTES)) + 1)
