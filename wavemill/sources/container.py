@@ -32,7 +32,7 @@ from wavemill.functions import codec
 from wavemill.operators import bands, postings
 from wavemill.schema import BAND_POSTINGS, FINGERPRINTS, MAPPINGS, SAMPLED_POSTINGS, U32
 from wavemill.sources.store import VERSION, Dataset
-from wavemill.sources.tables import scratch_root
+from wavemill.sources.tables import scratch_folder
 from wavemill.tuning import BandTuning, PostingTuning
 
 # The binary layout. All numbers are little-endian and unsigned.
@@ -385,10 +385,10 @@ def write_container(df: DataFrame, path: str, kind: str, family: str, *, packed:
         df = df.select("fp_id", "mbid", "track_id", encode_metadata("metadata").alias("text"))
     keys = {"D": ["fp_id"], "M": ["fp_id"], "X": ["bucket"], "I": ["hash"]}[kind]
     order = {"D": ["fp_id"], "M": ["fp_id"], "X": ["bucket", "fp_id", "pos"], "I": ["hash", "fp_id", "ordinal"]}[kind]
-    root = urlparse(scratch_root(df.sparkSession))
+    root = urlparse(scratch_folder(df.sparkSession))
     if root.scheme not in ("", "file"):
         raise OffsetOutOfBounds("containers are written through a mounted scratch folder")
-    folder = f"{root.path.rstrip('/')}/wavemill/container-{uuid.uuid4().hex}"
+    folder = f"{root.path}/container-{uuid.uuid4().hex}"
     os.makedirs(folder)
     encode, flag = _ENCODE[kind], texts if kind == "M" else packed
 
@@ -487,21 +487,19 @@ def import_dataset(spark: SparkSession, files: dict[str, str], family: str, path
     tuning = {kind: asdict(h.tuning) if h.tuning else None for kind, h in headers.items()}
     any_header = next(iter(headers.values()))
     texts = bool(headers["M"].flags & TEXTS) if "M" in headers else True
-    manifest = {"version": VERSION, "dataset_id": str(uuid.UUID(bytes=any_header.dataset_id)), "created_at": any_header.created_at, "source_date": any_header.source_date, "tables": {}, "band_tuning": tuning.get("X"), "posting_tuning": tuning.get("I"), "include_text": texts}
+    manifest = {"version": VERSION, "revision": 0, "dataset_id": str(uuid.UUID(bytes=any_header.dataset_id)), "created_at": any_header.created_at, "source_date": any_header.source_date, "tables": {}, "band_tuning": tuning.get("X"), "posting_tuning": tuning.get("I"), "include_text": texts}
     ds = Dataset(spark, path, manifest)
     for kind, file in files.items():
         rows = read_container(spark, file, kind, family)
         main, later = (rows.where(late).drop("from_overflow") for late in ("not from_overflow", "from_overflow"))
-        manifest["tables"][KINDS[kind]] = {"main": ds._write(KINDS[kind], main), "overflow": ds._write(KINDS[kind], later) if headers[kind].overflow else None}
-    ds._publish()
+        manifest["tables"][KINDS[kind]] = {"main": ds._write(KINDS[kind], main), "overflow": [ds._write(KINDS[kind], later)] if headers[kind].overflow else None}
+    ds._publish(first=True)
     return Dataset.open(spark, path)
 
 
 def export_dataset(ds: Dataset, files: dict[str, str], family: str, *, packed: bool = False) -> None:
-    """The main tables of a dataset as container files of its id, ``files`` by kind. An overflow has to be compacted
-    into them first."""
+    """The tables of a dataset as container files of its id, ``files`` by kind. The files have no overflow, so a table
+    that has one is exported as it would be after compaction; the dataset stays as it is."""
     for kind, file in files.items():
-        if ds._overflow(KINDS[kind]) is not None:
-            raise CorruptOverflow(f"compact {KINDS[kind]} first")
         tuning = ds.band_tuning if kind == "X" else ds.posting_tuning if kind == "I" else None
-        write_container(ds._main(KINDS[kind]), file, kind, family, packed=packed, texts=ds.manifest["include_text"], tuning=tuning, dataset_id=uuid.UUID(ds.manifest["dataset_id"]), source_date=ds.manifest["source_date"] or 0)
+        write_container(ds.compacted(KINDS[kind]), file, kind, family, packed=packed, texts=ds.manifest["include_text"], tuning=tuning, dataset_id=uuid.UUID(ds.manifest["dataset_id"]), source_date=ds.manifest["source_date"] or 0)

@@ -1,8 +1,9 @@
 """A dataset in a folder: Parquet tables in versioned folders, and one manifest whose swap publishes a change.
 
-Layout: ``manifest.json`` names the current folder of each table and of its overflow. A change writes new folders
-first and replaces the manifest last, so a reader sees the old state or the new one. Folders that no manifest names any
-more are left for ``vacuum``.
+Layout: ``manifest.json`` names the current folder of each table and the folders of its overflow, oldest first. A change
+writes new folders first and replaces the manifest last, so a reader sees the old state or the new one. The manifest
+counts its revisions; a writer whose dataset another one has changed since is refused, and opens it again. Folders that
+no manifest names any more are left for ``vacuum``.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ import time
 import uuid
 from collections.abc import Iterable
 from dataclasses import asdict
+from functools import reduce
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.errors import CorruptOverflow, DatasetMismatch, NoDataStore, NoIndex, NoPostingIndex, NoSearchIndex, OffsetOutOfBounds, RecordNotFound, UnknownFlags, UnsupportedVersion
+from wavemill.errors import ConcurrentChange, CorruptOverflow, DatasetMismatch, NoDataStore, NoIndex, NoPostingIndex, NoSearchIndex, OffsetOutOfBounds, RecordNotFound, UnknownFlags, UnsupportedVersion
 from wavemill.functions import codec
 from wavemill.operators import bands, overlay, postings, search, stats
 from wavemill.schema import TABLES
@@ -26,7 +28,7 @@ from wavemill.tuning import DEFAULTS, MAX_VALUES, BandTuning, HitOptions, Postin
 log = logging.getLogger("wavemill")
 
 VERSION = 0
-FIELDS = {"version", "dataset_id", "created_at", "source_date", "tables", "band_tuning", "posting_tuning", "include_text"}
+FIELDS = {"version", "revision", "dataset_id", "created_at", "source_date", "tables", "band_tuning", "posting_tuning", "include_text"}
 #: Order in which each table is laid out; a range of it is a file, so a lookup prunes to some files and row groups.
 LAYOUT = {"fingerprints": ["fp_id"], "mappings": ["fp_id"], "band_postings": ["bucket", "fp_id", "pos"], "sampled_postings": ["hash", "fp_id", "ordinal"]}
 
@@ -106,9 +108,7 @@ class Dataset:
         for name, parts in there.items():
             if name not in TABLES:
                 raise UnknownFlags(name)
-            for kind, folder in parts.items():
-                if folder is None:
-                    continue
+            for kind, folder in [(k, x) for k, v in parts.items() for x in (v if isinstance(v, list) else [v]) if x]:
                 if not files.exists(f"{folder}.json"):
                     raise CorruptOverflow(folder) if kind == "overflow" else OffsetOutOfBounds(folder)
                 if json.loads(files.read(f"{folder}.json"))["dataset_id"] != manifest["dataset_id"]:
@@ -122,7 +122,7 @@ class Dataset:
         ``sampled_postings`` (hash, fp_id, ordinal) may be given in place of fingerprints. Texts are dropped without
         ``include_text``.
         """
-        manifest = {"version": VERSION, "dataset_id": dataset_id or str(uuid.uuid4()), "created_at": int(time.time()), "source_date": source_date, "tables": {}, "band_tuning": None, "posting_tuning": None, "include_text": include_text}
+        manifest = {"version": VERSION, "revision": 0, "dataset_id": dataset_id or str(uuid.uuid4()), "created_at": int(time.time()), "source_date": source_date, "tables": {}, "band_tuning": None, "posting_tuning": None, "include_text": include_text}
         self = cls(spark, path, manifest)
         tables = manifest["tables"]
         if fingerprints is not None:
@@ -137,7 +137,7 @@ class Dataset:
             tables["sampled_postings"] = {"main": self._write("sampled_postings", rows), "overflow": None}
         if mappings is not None:
             tables["mappings"] = {"main": self._write("mappings", self._texts(mappings)), "overflow": None}
-        self._publish()
+        self._publish(first=True)
         return cls.open(spark, path)
 
     def _checked(self, rows: DataFrame, empty: bool = True) -> DataFrame:
@@ -161,13 +161,18 @@ class Dataset:
         log.info("wrote %s", folder)
         return folder
 
-    def _publish(self) -> None:
+    def _publish(self, first: bool = False) -> None:
+        if not first and self.files.exists("manifest.json"):
+            now = json.loads(self.files.read("manifest.json")).get("revision", 0)
+            if now != self.manifest.get("revision", 0):
+                raise ConcurrentChange(f"{self.path} is at revision {now}")
+            self.manifest["revision"] = now + 1
         self.files.write("manifest.json", json.dumps(self.manifest, indent=1))
         log.info("published %s", self.path)
 
     def vacuum(self) -> None:
         """Remove folders that the manifest doesn't name; only when no older reader is at work."""
-        named = {x for parts in self.manifest["tables"].values() for x in parts.values() if x}
+        named = {x for parts in self.manifest["tables"].values() for v in parts.values() for x in (v if isinstance(v, list) else [v])}
         for name in TABLES:
             for entry in self.files.list(name):
                 if f"{name}/{entry.removesuffix('.json')}" not in named:
@@ -182,8 +187,15 @@ class Dataset:
         return self.spark.read.parquet(f"{self.path}/{self.manifest['tables'][name]['main']}")
 
     def _overflow(self, name: str) -> DataFrame | None:
-        folder = self.manifest["tables"].get(name, {}).get("overflow")
-        return self.spark.read.parquet(f"{self.path}/{folder}") if folder else None
+        """The overflow: of each id the rows of the newest folder that has it; rows without an id stay."""
+        folders = self.manifest["tables"].get(name, {}).get("overflow") or []
+        parts = [self.spark.read.parquet(f"{self.path}/{folder}") for folder in folders]
+        if len(parts) < 2:
+            return parts[0] if parts else None
+        every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.withColumn("_seq", F.lit(i)) for i, p in enumerate(parts)])
+        newest = every.groupBy(F.col("fp_id").alias("_id")).agg(F.max("_seq").alias("_newest"))
+        kept = every.join(newest, F.col("fp_id") == F.col("_id"), "left").where(F.col("fp_id").isNull() | (F.col("_seq") == F.col("_newest")))
+        return kept.drop("_seq", "_id", "_newest")
 
     def _need(self, name: str, error: type[Exception]) -> DataFrame:
         if not self._has(name):
@@ -256,13 +268,12 @@ class Dataset:
     # overflow
 
     def _append(self, name: str, rows: DataFrame, mode: str) -> None:
-        """A new overflow replaces the one before it, or with ``accumulate`` only what that has of the same ids."""
-        before = self._overflow(name)
-        if mode == "accumulate" and before is not None:
-            rows = overlay.overlay(before, rows.select(*before.columns))
-        elif mode not in ("replace", "accumulate"):
+        """A new overflow replaces the one before it; with ``accumulate`` it is laid over that, as a folder of its own
+        whose ids take the place of the same ids before. Nothing older is read or written again until ``compact``."""
+        if mode not in ("replace", "accumulate"):
             raise ValueError(mode)
-        self.manifest["tables"][name]["overflow"] = self._write(name, rows)
+        before = self.manifest["tables"][name]["overflow"] or []
+        self.manifest["tables"][name]["overflow"] = [*(before if mode == "accumulate" else []), self._write(name, rows)]
         self._publish()
 
     def append_fingerprints(self, records: DataFrame, mode: str = "replace") -> None:
@@ -312,23 +323,26 @@ class Dataset:
         Records of the overflow win. Indexes are rebuilt from the compacted fingerprints with their tuning; an index
         over no fingerprint table keeps its own and its overflow postings.
         """
-        wanted = list(tables) if tables is not None else list(self.manifest["tables"])
+        wanted = [n for n in (tables if tables is not None else list(self.manifest["tables"])) if self._has(n)]
         new = {}
-        for name in ("fingerprints", "mappings"):
-            if name in wanted and self._has(name):
-                rows = overlay.overlay(self._main(name), self._overflow(name))
-                new[name] = self._write(name, self._texts(rows) if name == "mappings" else rows)
-        base = self.spark.read.parquet(f"{self.path}/{new['fingerprints']}") if "fingerprints" in new else (self._main("fingerprints") if self._has("fingerprints") else None)
-        if "band_postings" in wanted and self._has("band_postings"):
-            if base is None:
-                raise NoDataStore(self.path)
-            new["band_postings"] = self._write("band_postings", bands.band_postings(base, self.band_tuning))
-        if "sampled_postings" in wanted and self._has("sampled_postings"):
-            own, later = self._main("sampled_postings"), self._overflow("sampled_postings")
-            rows = postings.sampled(base, self.posting_tuning) if base is not None else (own if later is None else own.unionByName(later)).distinct()
-            new["sampled_postings"] = self._write("sampled_postings", rows)
+        for name in [n for n in ("fingerprints", "mappings", "band_postings", "sampled_postings") if n in wanted]:
+            base = self.spark.read.parquet(f"{self.path}/{new['fingerprints']}") if "fingerprints" in new else (self._main("fingerprints") if self._has("fingerprints") else None)
+            new[name] = self._write(name, self.compacted(name, base))
         for name, folder in new.items():
             self.manifest["tables"][name] = {"main": folder, "overflow": None}
         self._publish()
 
-
+    def compacted(self, name: str, base: DataFrame | None = None) -> DataFrame:
+        """The rows of a table once its overflow is folded in; those of an index come from the fingerprints ``base``, by
+        default all current ones."""
+        main, later = self._main(name), self._overflow(name)
+        if name in ("fingerprints", "mappings"):
+            rows = overlay.overlay(main, later)
+            return self._texts(rows) if name == "mappings" else rows
+        if base is None and self._has("fingerprints"):
+            base = self.fingerprints().drop("from_overflow")
+        if name == "band_postings":
+            if base is None:
+                raise NoDataStore(self.path)
+            return bands.band_postings(base, self.band_tuning)
+        return postings.sampled(base, self.posting_tuning) if base is not None else (main if later is None else main.unionByName(later)).distinct()
