@@ -193,3 +193,23 @@ def decoded_packed(data: Column | str, count: Column | str) -> Column:
         return _decoder(decompress_packed)(data, count)
 
     return _applied(run, "array<bigint>", data, count)
+
+
+def encoded_postings(ids: Column | str, positions: Column | str) -> Column:
+    """Bytes of a posting list, sorted by id; null for null."""
+
+    def run(ids: pa.Array, positions: pa.Array) -> pa.Array:
+        lists = lambda a: [np.array(v.values.to_numpy(zero_copy_only=False), np.int64) if v.is_valid else None for v in a]
+        return pa.array([None if i is None or p is None else compress_postings(i, p) for i, p in zip(lists(ids), lists(positions))], pa.binary())
+
+    return _applied(run, "binary", ids, positions)
+
+
+def decoded_postings(data: Column | str, count: Column | str) -> Column:
+    """A struct of ``ids`` and ``positions``."""
+
+    def run(data: pa.Array, count: pa.Array) -> pa.Array:
+        both = [decompress_postings(d.as_py(), n.as_py()) if d.is_valid and n.is_valid else None for d, n in zip(data, count)]
+        return pa.array([None if b is None else {"ids": b[0], "positions": b[1]} for b in both], pa.struct([("ids", pa.list_(pa.int64())), ("positions", pa.list_(pa.int64()))]))
+
+    return _applied(run, "struct<ids:array<bigint>,positions:array<bigint>>", data, count)

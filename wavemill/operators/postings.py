@@ -6,8 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavemill.functions.bits import quantize_mask, quantized, varint_len
+from wavemill.schema import U32
 from wavemill.tuning import MAX_ORDINAL, PostingTuning
 
+#: Low bits of the hashes that share a cell in a search of the skip directory.
+CELL_BITS = 14
+#: Ids whose postings stand in one list.
+LIST_IDS = 4096
+
 
 def sampled(fingerprints: DataFrame, tuning: PostingTuning = PostingTuning()) -> DataFrame:
     """``(hash, fp_id, ordinal)`` of positions 0, stride, ... up to the last ordinal that the index can hold, equal
@@ -63,6 +69,35 @@ def skip_directory(postings: DataFrame, tuning: PostingTuning = PostingTuning())
     return ranked.select((F.col("rank") / tuning.skip_interval).cast("bigint").alias("entry"), "hash")
 
 
+def skip_search(directory: DataFrame, hashes: DataFrame) -> DataFrame:
+    """``(hash, entry, low, high)`` of each different wanted hash: the last skip entry at or before it and the bounds of
+    what is to be read for it, ``high`` exclusive and null at the end. A hash before the first entry is in no bucket and
+    has no row.
+
+    Entries and hashes meet by the high bits of the hash: an entry stands in every cell of hashes that it reaches into
+    (in all at most as many rows as there are entries and cells), a hash in its own.
+    """
+    cell = F.shiftrightunsigned("hash", CELL_BITS)
+    # entries are numbered in order, so the next one bounds each
+    following = directory.select((F.col("entry") - 1).alias("entry"), F.col("hash").alias("high"))
+    entries = directory.join(following, "entry", "left").withColumn("low", F.col("hash"))
+    last = F.shiftrightunsigned(F.coalesce(F.col("high") - 1, F.lit(U32)), CELL_BITS)
+    entries = entries.select("entry", "low", "high", F.explode(F.sequence(cell, last)).alias("cell"))
+    wanted = hashes.select("hash").where(F.col("hash").isNotNull()).distinct().withColumn("cell", cell)
+    found = wanted.join(entries, "cell").where((F.col("low") <= F.col("hash")) & (F.col("high").isNull() | (F.col("hash") < F.col("high"))))
+    return found.select("hash", "entry", "low", "high")
+
+
+def posting_lists(postings: DataFrame) -> DataFrame:
+    """``(hash, part, n_postings, ids, ordinals)``: the postings of each bucket as arrays sorted by id and ordinal.
+
+    A part holds the postings of ``LIST_IDS`` neighbouring ids (``fp_id`` divided by it), so a hash with a third of all
+    postings is many bounded lists.
+    """
+    p = postings.groupBy("hash", F.floor(F.col("fp_id") / LIST_IDS).alias("part")).agg(F.sort_array(F.collect_list(F.struct("fp_id", "ordinal"))).alias("p"))
+    return p.select("hash", "part", F.size("p").cast("bigint").alias("n_postings"), F.col("p.fp_id").alias("ids"), F.col("p.ordinal").alias("ordinals"))
+
+
 def lookup_hash(postings: DataFrame, value: int | Column, tuning: PostingTuning = PostingTuning(), overflow: DataFrame | None = None) -> DataFrame:
     """Postings of one hash, of the main index and the overflow together; the overflow shadows nothing. The filter
     reaches the scan."""

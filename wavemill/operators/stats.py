@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,8 +21,9 @@ def dataset_stats(spark: SparkSession, *, fingerprints: DataFrame | None = None,
     return counts.select("*", (F.col("overflow_count") > 0).alias("has_overflow"), *(F.lit(v).alias(k) for k, v in flags.items()))
 
 
-def needs_compaction(stats: DataFrame, threshold_pct: float) -> DataFrame:
-    """``(needs_compaction)``: whether the overflow has reached that many percent of the main records; with no main
-    records, whether there is an overflow; never without a fingerprint table."""
-    grown = F.when(F.col("record_count") == 0, F.col("has_overflow")).otherwise(F.col("overflow_count") / F.col("record_count") >= F.lit(threshold_pct) / 100)
-    return stats.select((F.col("has_data_store") & grown).alias("needs_compaction"))
+def needs_compaction(stats: DataFrame, threshold_pct: float | Column) -> DataFrame:
+    """``(needs_compaction)`` and the columns beyond the statistics: whether the overflow has reached that many percent of
+    the main records; with no main records, whether there is an overflow; never without a fingerprint table."""
+    limit = threshold_pct if isinstance(threshold_pct, Column) else F.lit(threshold_pct)
+    grown = F.when(F.col("record_count") == 0, F.col("has_overflow")).otherwise(F.col("overflow_count") / F.col("record_count") >= limit / 100)
+    return stats.select((F.col("has_data_store") & grown).alias("needs_compaction"), *(c for c in stats.columns if c == "threshold_pct"))

@@ -1,6 +1,6 @@
 """All core queries and their SQL."""
 
-from wavemill.plans import data_checks, engine, engine_sql
+from wavemill.plans import data_checks, engine, engine_sql, stored
 
-QUERIES = engine.QUERIES | data_checks.QUERIES
-SQL = engine_sql.SQL | data_checks.SQL
+QUERIES = engine.QUERIES | stored.QUERIES | data_checks.QUERIES
+SQL = engine_sql.SQL | stored.SQL | data_checks.SQL

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wavemill.functions import bits, codec, strings
 from wavemill.operators import bands, overlay, postings, search, stats
-from wavemill.sources.fixtures import lcg_fingerprints, lcg_range
+from wavemill.sources.fixtures import lcg_fingerprints
 from wavemill.sources.tables import table
 from wavemill.tuning import STRATEGIES, HitOptions, QueryOptions, auto_tune, grid
 
@@ -66,8 +66,8 @@ def lookup_metadata(spark, d):
 
 
 def lookup_hash(spark, d):
-    """Postings of the hash at the start of every query."""
-    q = _queries(spark, d).select("qid", bits.quantized(F.get("values", F.lit(0)), 2).alias("hash"))
+    """Postings of every different hash of every query."""
+    q = _queries(spark, d).select("qid", F.explode("values").alias("v")).select("qid", bits.quantized("v", 2).alias("hash")).distinct()
     all_ = _index(spark, d).unionByName(_overflow_index(spark, d))
     return _whole(q.join(all_, "hash").select("qid", "hash", "fp_id", "ordinal"), "ordinal")
 
@@ -103,14 +103,15 @@ def compact_metadata(spark, d):
 
 
 def compact_posting_index(spark, d):
-    """Postings for each id of the index rebuilt from the compacted table."""
+    """The sampled index rebuilt from the compacted table."""
     rows = overlay.overlay(_fps(spark, d), _fps(spark, d, "fingerprints_overflow"))
-    return postings.sampled(rows).groupBy("fp_id").agg(F.count(F.lit(1)).alias("n_postings"))
+    return _whole(postings.sampled(rows), "ordinal")
 
 
 def compact_search_index(spark, d):
+    """The band index rebuilt from the compacted table."""
     rows = overlay.overlay(_fps(spark, d), _fps(spark, d, "fingerprints_overflow"))
-    return bands.bucket_directory(bands.band_postings(rows))
+    return _whole(bands.band_postings(rows), "bucket", "band", "band_value", "pos")
 
 
 # index builders
@@ -137,10 +138,6 @@ def skip_directory(spark, d):
 
 
 def extract_bands(spark, d):
-    return _whole(bands.exploded_bands(_queries(spark, d), "qid", bands.BandTuning()), "pos", "band", "band_value")
-
-
-def fingerprint_bands(spark, d):
     """The bands of every value of the fingerprint table."""
     return _whole(bands.exploded_bands(_fps(spark, d), "fp_id", bands.BandTuning()), "pos", "band", "band_value")
 
@@ -154,10 +151,6 @@ def band_stats(spark, d):
     return bands.band_stats(_bands(spark, d))
 
 
-def band_posting_list(spark, d):
-    return _whole(bands.posting_list(_bands(spark, d), 517, _overflow_bands(spark, d)), "pos")
-
-
 def band_posting_lists(spark, d):
     """The postings of every bucket that a band of any query falls into, each once for its bucket."""
     wanted = bands.band_postings(_queries(spark, d).withColumnRenamed("qid", "fp_id")).select("bucket").distinct()
@@ -215,14 +208,8 @@ def band_query_overflow(spark, d):
 
 
 def lcg_query(spark, d):
-    """Every generated fingerprint of 64 values as a query from its 17th value on, against all of them."""
-    fps = lcg_range(spark, 1, 40, 64)
-    q = fps.select(F.col("fp_id").alias("qid"), F.slice("values", 17, 48).alias("values"))
-    return _whole(search.full_query(q, postings.sampled(fps)), "delta", "rank")
-
-
-def lcg_fixture_query(spark, d):
-    """As lcg_query, with a fingerprint generated from every id of the fingerprint table."""
+    """A fingerprint generated from every id of the fingerprint table, each a query from its 17th value on, against all
+    of them."""
     ids = _fps(spark, d).select("fp_id").where(F.col("fp_id").isNotNull()).distinct()
     fps = lcg_fingerprints(ids, 64)
     q = fps.select(F.col("fp_id").alias("qid"), F.slice("values", 17, 48).alias("values"))
@@ -243,10 +230,6 @@ def hamming_pairs(spark, d):
 
 
 def xor_deltas(spark, d):
-    return _whole(_queries(spark, d).select("qid", F.posexplode(bits.xor_deltas("values")).alias("pos", "delta")), "pos")
-
-
-def fingerprint_xor_deltas(spark, d):
     return _whole(_fps(spark, d).select("fp_id", "added_at", F.posexplode(bits.xor_deltas("values")).alias("pos", "delta")), "pos")
 
 
@@ -270,13 +253,17 @@ def codec_roundtrip_packed(spark, d):
     return _round_trip(spark, d, codec.encoded_packed, codec.decoded_packed)
 
 
+def _all_mappings(spark, d):
+    return table(spark, d, "mappings").unionByName(table(spark, d, "mappings_overflow"))
+
+
 def string_pool_encode(spark, d):
-    return table(spark, d, "mappings").select("fp_id", "mbid", "added_at", strings.encode_metadata("metadata").alias("text"))
+    return _all_mappings(spark, d).select("fp_id", "mbid", "added_at", strings.encode_metadata("metadata").alias("text"))
 
 
 def string_pool_parse(spark, d):
     """Metadata after encoding and parsing: null fields come back empty."""
-    rows = table(spark, d, "mappings").select("fp_id", "mbid", "added_at", strings.parse_metadata(strings.encode_metadata("metadata")).alias("m"))
+    rows = _all_mappings(spark, d).select("fp_id", "mbid", "added_at", strings.parse_metadata(strings.encode_metadata("metadata")).alias("m"))
     return rows.select("fp_id", "mbid", "added_at", *(F.col(f"m.{f}").alias(f) for f in FIELDS))
 
 
@@ -292,11 +279,8 @@ def dataset_stats(spark, d):
 
 
 def needs_compaction(spark, d):
-    levels = [stats.needs_compaction(_stats(spark, d), pct).withColumn("threshold_pct", F.lit(pct)) for pct in (1.0, 5.0, 10.0, 50.0)]
-    out = levels[0]
-    for part in levels[1:]:
-        out = out.unionByName(part)
-    return out
+    levels = F.explode(F.array(*map(F.lit, (1.0, 5.0, 10.0, 50.0))))
+    return stats.needs_compaction(_stats(spark, d).withColumn("threshold_pct", levels), F.col("threshold_pct"))
 
 
 def autotune_grid(spark, d):
@@ -312,8 +296,8 @@ def autotune_choice(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    query_full, query_full_minhits_topk, query_full_overflow, query_full_verified, band_search_counts, band_candidates, band_query, band_query_options, band_query_metadata, band_query_overflow, lcg_query, lcg_fixture_query,
+    query_full, query_full_minhits_topk, query_full_overflow, query_full_verified, band_search_counts, band_candidates, band_query, band_query_options, band_query_metadata, band_query_overflow, lcg_query,
     overlay_scan, lookup_fingerprint, lookup_metadata, lookup_hash, iterate_mappings, latest_mappings, overflow_first_wins, compact_datastore, compact_metadata, compact_posting_index, compact_search_index,
-    sampled_postings_build, posting_stats, posting_buckets, posting_bucket_sizes, skip_directory, extract_bands, fingerprint_bands, band_directory, band_stats, band_posting_list, band_posting_lists,
-    hamming_pairs, xor_deltas, fingerprint_xor_deltas, encoded_sizes, codec_roundtrip_varint, codec_roundtrip_packed, string_pool_encode, string_pool_parse, dataset_stats, needs_compaction, autotune_grid, autotune_choice,
+    sampled_postings_build, posting_stats, posting_buckets, posting_bucket_sizes, skip_directory, extract_bands, band_directory, band_stats, band_posting_lists,
+    hamming_pairs, xor_deltas, encoded_sizes, codec_roundtrip_varint, codec_roundtrip_packed, string_pool_encode, string_pool_parse, dataset_stats, needs_compaction, autotune_grid, autotune_choice,
 )}

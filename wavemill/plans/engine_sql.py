@@ -90,15 +90,11 @@ _GRID = """n AS (SELECT count(*) AS n FROM fingerprints), g AS (SELECT bands, bi
 grid AS (SELECT bands, bits, (est_ram + n * 720 * bands)::BIGINT AS est_size, est_ram, -10 * abs(bands - 4) - 10 * abs(bits - 8) AS manual, 100 * bands - 10 * bits AS speed, -bands * (1::BIGINT << bits) AS low_ram,
     (50 * bands - ((est_ram + n * 720 * bands)::BIGINT >> 20))::BIGINT AS balanced FROM g, n)"""
 
-_LCG_FIXTURES = """RECURSIVE l AS (SELECT DISTINCT fp_id, 0 AS k, fp_id::BIGINT AS x FROM fingerprints WHERE fp_id IS NOT NULL UNION ALL
+_LCG = """RECURSIVE l AS (SELECT DISTINCT fp_id, 0 AS k, fp_id::BIGINT AS x FROM fingerprints WHERE fp_id IS NOT NULL UNION ALL
     SELECT fp_id, k + 1, (x * 1103515245 + 12345) & 4294967295 FROM l WHERE k < 64),
 idx AS (SELECT DISTINCT x & 4294967292 AS hash, fp_id, ((k - 1) // 8)::INT AS ordinal FROM l WHERE k > 0 AND (k - 1) % 8 = 0),
 lq AS (SELECT fp_id AS qid, list(x ORDER BY k) AS "values" FROM l WHERE k > 16 GROUP BY fp_id)"""
 
-_LCG = """RECURSIVE l AS (SELECT i AS fp_id, 0 AS k, i::BIGINT AS x FROM range(1, 41) t(i) UNION ALL SELECT fp_id, k + 1, (x * 1103515245 + 12345) & 4294967295 FROM l WHERE k < 64),
-idx AS (SELECT DISTINCT x & 4294967292 AS hash, fp_id, ((k - 1) // 8)::INT AS ordinal FROM l WHERE k > 0 AND (k - 1) % 8 = 0),
-lq AS (SELECT fp_id AS qid, list(x ORDER BY k) AS "values" FROM l WHERE k > 16 GROUP BY fp_id)"""
-
 SQL = {
     "query_full": _full(_INDEX, "SELECT * FROM idx") + "SELECT * FROM full_",
     "query_full_minhits_topk": _full(_INDEX, "SELECT * FROM idx", 5, 3) + "SELECT * FROM full_",
@@ -113,14 +109,13 @@ SQL = {
 SELECT qid, fp_id, ber, score_name, mbid, track_id, title FROM matched LEFT JOIN m1 USING (fp_id)""",
     "band_query_overflow": _band_query(_candidates(True), _ONE_OVERLAID) + _ALL,
     "lcg_query": _full(_LCG, "SELECT * FROM idx", queries="lq") + "SELECT * FROM full_",
-    "lcg_fixture_query": _full(_LCG_FIXTURES, "SELECT * FROM idx", queries="lq") + "SELECT * FROM full_",
     "overlay_scan": f'WITH {_OVERLAY} SELECT fp_id, duration_ms, coalesce(len("values"), NULL) AS n_values, from_overflow FROM every',
     "lookup_fingerprint": """WITH k AS (SELECT DISTINCT fp_id FROM deleted_fps), e AS (SELECT * FROM fingerprints_overflow SEMI JOIN k USING (fp_id) UNION ALL
     SELECT * FROM (SELECT * FROM fingerprints SEMI JOIN k USING (fp_id)) ANTI JOIN fingerprints_overflow USING (fp_id))
 SELECT fp_id, duration_ms, len("values") AS n_values, added_at FROM e QUALIFY row_number() OVER (PARTITION BY fp_id ORDER BY added_at DESC NULLS LAST, duration_ms DESC NULLS LAST, len("values") DESC NULLS LAST) = 1""",
     "lookup_metadata": f"WITH {_MAPPED} SELECT fp_id, mbid, track_id, {_META} FROM every_map SEMI JOIN deleted_fps USING (fp_id)",
     "lookup_hash": f"""WITH {_INDEX}, {_sampled("fingerprints_overflow", "ovf")} SELECT q.qid, q.hash, p.fp_id, p.ordinal::BIGINT AS ordinal
-FROM (SELECT qid, "values"[1] & {MASK} AS hash FROM queries) q JOIN (SELECT * FROM idx UNION ALL SELECT * FROM ovf) p USING (hash)""",
+FROM (SELECT DISTINCT qid, v & {MASK} AS hash FROM (SELECT qid, unnest("values") AS v FROM queries)) q JOIN (SELECT * FROM idx UNION ALL SELECT * FROM ovf) p USING (hash)""",
     "iterate_mappings": f"WITH {_MAPPED} SELECT fp_id, mbid, track_id, {_META}, from_overflow FROM every_map",
     "latest_mappings": """SELECT fp_id, added_at, track_id, mbid FROM mappings WHERE fp_id IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY fp_id ORDER BY added_at DESC NULLS LAST, track_id DESC NULLS LAST, mbid DESC NULLS LAST) = 1""",
@@ -128,9 +123,9 @@ QUALIFY row_number() OVER (PARTITION BY fp_id ORDER BY added_at DESC NULLS LAST,
 QUALIFY row_number() OVER (PARTITION BY fp_id ORDER BY added_at NULLS FIRST, len("values") NULLS FIRST) = 1""",
     "compact_datastore": f'WITH {_OVERLAY} SELECT fp_id, duration_ms, len("values") AS n_values, CASE WHEN len("values") = 0 THEN 0 ELSE list_sum("values") END::BIGINT AS checksum FROM every',
     "compact_metadata": f"WITH {_MAPPED} SELECT fp_id, mbid, track_id, {_TEXT} AS text FROM every_map",
-    "compact_posting_index": f"WITH {_OVERLAY}, {_sampled('every', 'p')} SELECT fp_id, count(*) AS n_postings FROM p GROUP BY fp_id",
-    "compact_search_index": f"""WITH {_OVERLAY}, v AS (SELECT unnest("values") AS v FROM every WHERE len("values") > 0)
-SELECT (k * 256 + ((v >> (8 * k)) & 255))::INT AS bucket, count(*) AS n_postings FROM v, range(4) r(k) WHERE v IS NOT NULL GROUP BY 1""",
+    "compact_posting_index": f"WITH {_OVERLAY}, {_sampled('every', 'p')} SELECT hash, fp_id, ordinal::BIGINT AS ordinal FROM p",
+    "compact_search_index": f"""WITH {_OVERLAY}, v AS (SELECT fp_id, unnest("values") AS v, unnest(range(len("values"))) AS i FROM every WHERE len("values") > 0)
+SELECT k * 256 + ((v >> (8 * k)) & 255) AS bucket, k AS band, (v >> (8 * k)) & 255 AS band_value, fp_id, i AS pos FROM v, range(4) r(k) WHERE v IS NOT NULL""",
     "sampled_postings_build": f"WITH {_sampled('fingerprints', 'p')} SELECT hash, fp_id, ordinal::BIGINT AS ordinal FROM p",
     "posting_stats": f"WITH {_INDEX} SELECT count(DISTINCT hash) AS bucket_count, count(*) AS total_postings, (count(*) // count(DISTINCT hash))::BIGINT AS avg_per_bucket FROM idx",
     "posting_buckets": f"WITH {_INDEX} SELECT hash, count(*) AS n_postings FROM idx GROUP BY hash",
@@ -139,14 +134,11 @@ h AS (SELECT hash, hash - lag(hash, 1, 0) OVER (ORDER BY hash) AS g FROM (SELECT
 v AS (SELECT hash, count(*) AS n, sum({_varint('d')}) AS b FROM d GROUP BY hash)
 SELECT hash, n AS n_postings, (b + n + {_varint('n')} + {_varint('g')})::BIGINT AS n_bytes FROM v JOIN h USING (hash)""",
     "skip_directory": f"WITH {_INDEX}, r AS (SELECT hash, row_number() OVER (ORDER BY hash) - 1 AS r FROM (SELECT DISTINCT hash FROM idx)) SELECT (r // 64)::BIGINT AS entry, hash FROM r WHERE r % 64 = 0",
-    "extract_bands": f"WITH {_QBANDS} SELECT qid, p AS pos, k AS band, bv AS band_value FROM qb",
-    "fingerprint_bands": """WITH v AS (SELECT fp_id, unnest("values") AS v, unnest(range(len("values"))) AS p FROM fingerprints WHERE len("values") > 0)
+    "extract_bands": """WITH v AS (SELECT fp_id, unnest("values") AS v, unnest(range(len("values"))) AS p FROM fingerprints WHERE len("values") > 0)
 SELECT fp_id, p AS pos, k AS band, (v >> (8 * k)) & 255 AS band_value FROM v, range(4) r(k) WHERE v IS NOT NULL""",
     "band_directory": """WITH v AS (SELECT unnest("values") AS v FROM fingerprints WHERE len("values") > 0)
 SELECT (k * 256 + ((v >> (8 * k)) & 255))::INT AS bucket, count(*) AS n_postings FROM v, range(4) r(k) WHERE v IS NOT NULL GROUP BY 1""",
     "band_stats": "SELECT 1024::BIGINT AS total_buckets, count(*) AS total_postings, count(*) // 1024 AS avg_per_bucket FROM band_postings",
-    "band_posting_list": f"""SELECT fp_id, pos::BIGINT AS pos FROM band_postings WHERE bucket = 517
-UNION ALL SELECT fp_id, pos FROM ({_OVERFLOW_BANDS}) WHERE band = 2 AND band_value = 5""",
     "band_posting_lists": f"""WITH {_QBANDS}, b AS (SELECT DISTINCT k * 256 + bv AS bucket FROM qb)
 SELECT bucket::BIGINT AS bucket, fp_id, pos::BIGINT AS pos FROM (SELECT bucket, fp_id, pos FROM band_postings
     UNION ALL SELECT band * 256 + band_value, fp_id, pos FROM ({_OVERFLOW_BANDS})) SEMI JOIN b USING (bucket)""",
@@ -155,14 +147,13 @@ n AS (SELECT fp_id, x, y, least(len(x), len(y)) AS n FROM a JOIN b USING (fp_id)
 e AS (SELECT fp_id, n * 32 AS bits, list_sum(list_transform(range(1, n + 1), lambda i: bit_count(xor(x[i], y[i]))))::BIGINT AS errors FROM n WHERE n > 0),
 s AS (SELECT *, errors::DOUBLE / bits AS ber, CASE WHEN errors::DOUBLE / bits < 0.15 THEN 0 WHEN errors::DOUBLE / bits < 0.25 THEN 1 WHEN errors::DOUBLE / bits < 0.35 THEN 2 ELSE 3 END AS score FROM e)
 SELECT fp_id, bits, errors, ber, {_NAME} AS score_name FROM s""",
-    "xor_deltas": f'WITH x AS (SELECT qid, {_XOR} AS x FROM queries WHERE len("values") > 1) SELECT qid, unnest(range(len(x))) AS pos, unnest(x) AS delta FROM x',
-    "fingerprint_xor_deltas": f'WITH x AS (SELECT fp_id, added_at, {_XOR} AS x FROM fingerprints WHERE len("values") > 1) SELECT fp_id, added_at, unnest(range(len(x))) AS pos, unnest(x) AS delta FROM x',
+    "xor_deltas": f'WITH x AS (SELECT fp_id, added_at, {_XOR} AS x FROM fingerprints WHERE len("values") > 1) SELECT fp_id, added_at, unnest(range(len(x))) AS pos, unnest(x) AS delta FROM x',
     "encoded_sizes": f"WITH {_SIZES} SELECT fp_id, added_at, n_values, varint_bytes::BIGINT AS varint_bytes, packed_bytes::BIGINT AS packed_bytes FROM sized",
     "codec_roundtrip_varint": f"WITH {_SIZES} SELECT fp_id, added_at, varint_bytes::BIGINT AS n_bytes, n_values, coalesce(total, 0)::BIGINT AS checksum FROM sized",
     "codec_roundtrip_packed": f"WITH {_SIZES} SELECT fp_id, added_at, packed_bytes::BIGINT AS n_bytes, n_values, coalesce(total, 0)::BIGINT AS checksum FROM sized",
-    "string_pool_encode": f"SELECT fp_id, mbid, added_at, {_TEXT} AS text FROM mappings",
+    "string_pool_encode": f"SELECT fp_id, mbid, added_at, {_TEXT} AS text FROM (SELECT * FROM mappings UNION ALL SELECT * FROM mappings_overflow)",
     "string_pool_parse": """SELECT fp_id, mbid, added_at, CASE WHEN metadata IS NOT NULL THEN coalesce(metadata.title, '') END AS title, CASE WHEN metadata IS NOT NULL THEN coalesce(metadata.artist, '') END AS artist,
-CASE WHEN metadata IS NOT NULL THEN coalesce(metadata.release, '') END AS release, CASE WHEN metadata IS NOT NULL THEN coalesce(metadata.year, '') END AS year FROM mappings""",
+CASE WHEN metadata IS NOT NULL THEN coalesce(metadata.release, '') END AS release, CASE WHEN metadata IS NOT NULL THEN coalesce(metadata.year, '') END AS year FROM (SELECT * FROM mappings UNION ALL SELECT * FROM mappings_overflow)""",
     "dataset_stats": """SELECT a.n AS record_count, b.n AS overflow_count, c.n AS metadata_count, b.n > 0 AS has_overflow, true AS has_data_store, true AS has_metadata, true AS has_search_index, true AS has_posting_index
 FROM (SELECT count(*) AS n FROM fingerprints) a, (SELECT count(*) AS n FROM fingerprints_overflow) b, (SELECT count(*) AS n FROM mappings) c""",
     "needs_compaction": """SELECT b.n / a.n >= t / 100 AS needs_compaction, t AS threshold_pct
