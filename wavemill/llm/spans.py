@@ -12,9 +12,13 @@ from pyspark.sql import types as T
 
 from wavemill.sources.tables import partitions_for
 
-#: Base of the rolling hash and its inverse, modulo 2 ** 64 (odd, so that an inverse exists).
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Bases of the two rolling hashes modulo 2 ** 64 (odd, so that an inverse exists). A window is known by all 64 bits of
+#: the first and 32 of the second: among 10 ** 13 windows less than one pair of unlike ones is expected to agree.
+BASE, SECOND = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+#: Windows and records that a task remembers.
+REMEMBERED = 1 << 20
+#: Bytes of windows that a task puts together.
+PARTITION_BYTES = 16 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -29,58 +33,84 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(np.r_[np.uint64(1), np.full(max(0, n - 1), base, np.uint64)])[:n]
 
 
-def window_hashes(values: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rabin-Karp hash of every window of ``width`` values that lies in one record, and the window's start in ``values``.
+def window_hashes(values: np.ndarray, offsets: np.ndarray, width: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rabin-Karp hash of every window of ``width`` values that lies in one record, the window's start in ``values``, and
+    the hash of each whole record.
 
-    With S the running sum of value * BASE ** i, the window at i hashes to (S[i + width] - S[i]) * BASE ** -i.
+    With S the running sum of value * base ** i, the window at i hashes to (S[i + width] - S[i]) * base ** -i.
     """
     n = len(values)
-    if n < width:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     run = np.zeros(n + 1, np.uint64)
-    np.cumsum(mixed(values) * _powers(BASE, n), out=run[1:])
-    size = np.diff(offsets)
-    fits = np.arange(n + 1)
-    whole = np.zeros(n + 1, np.int64)
-    counts = np.maximum(size - width + 1, 0)
-    np.add.at(whole, offsets[:-1][counts > 0], 1)
-    np.add.at(whole, (offsets[:-1] + counts)[counts > 0], -1)
-    start = fits[np.cumsum(whole) > 0]
-    return mixed((run[start + width] - run[start]) * _powers(INVERSE, n)[start]), start
+    np.cumsum(mixed(values) * _powers(base, n), out=run[1:])
+    back = _powers(pow(base, -1, 1 << 64), n + 1)
+    whole = (run[offsets[1:]] - run[offsets[:-1]]) * back[offsets[:-1]]
+    counts = np.maximum(np.diff(offsets) - width + 1, 0)
+    edges = np.zeros(n + 1, np.int64)
+    np.add.at(edges, offsets[:-1][counts > 0], 1)
+    np.add.at(edges, (offsets[:-1] + counts)[counts > 0], -1)
+    start = np.flatnonzero(np.cumsum(edges) > 0)
+    return mixed((run[start + width] - run[start]) * back[start]), start, mixed(whole)
+
+
+def _once(ids: np.ndarray, values: np.ndarray, offsets: np.ndarray, known: set) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The records without those that the task has had before, id and values alike."""
+    *_, whole = window_hashes(values, offsets, 1 << 30)
+    sizes, keep = np.diff(offsets), np.zeros(len(ids), bool)
+    for i, key in enumerate(zip(ids.tolist(), whole.tolist(), sizes.tolist())):
+        if key not in known:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            known.add(key)
+            keep[i] = True
+    return ids[keep], values[np.repeat(keep, sizes)], np.r_[0, np.cumsum(sizes[keep])].astype(np.int64)
 
 
 def _windows(width: int, schema: pa.Schema):
-    def of(ids: np.ndarray, values: np.ndarray, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
-        h, start = window_hashes(values, offsets, width)
+    """Rows (h, g, id, at): of a window its hashes and position, of a hash that is known to be shared -1 in place of the
+    position, of an interval that is settled already a hash of its own and start and end as two halves of one number."""
+
+    def batch_of(h: np.ndarray, g: np.ndarray, ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.astype(np.int64)), pa.array(ids), pa.array(at.astype(np.int64))], schema=schema)
+
+    def of(ids: np.ndarray, values: np.ndarray, offsets: np.ndarray, told: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h, start, _ = window_hashes(values, offsets, width)
         if not len(h):
             return
+        g = window_hashes(values, offsets, width, SECOND)[0] >> np.uint64(32)
         owner = np.searchsorted(offsets, start, "right") - 1
-        order = np.argsort(h, kind="stable")
-        h, who, pos = h[order].view(np.int64), ids[owner[order]], (start - offsets[owner])[order].astype(np.int32)
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        order = np.lexsort((g, h))
+        h, g, who, pos = h[order], g[order], ids[owner[order]], (start - offsets[owner])[order]
+        first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
         size = np.diff(np.r_[first, len(h)])
-        low, high = np.minimum.reduceat(who, first), np.maximum.reduceat(who, first)
-        shared = np.repeat(low != high, size)
-        alone = ~shared
-        yield pa.RecordBatch.from_arrays([pa.array(h[alone]), pa.array(who[alone]), pa.array(pos[alone]), pa.array(np.zeros(alone.sum(), np.int8))], schema=schema)
-        known = first[low != high]
-        if len(known):  # one row tells the others; the windows themselves need no partner any more
-            yield pa.RecordBatch.from_arrays([pa.array(h[known]), pa.array(who[known]), pa.array(np.full(len(known), -1, np.int32)), pa.array(np.ones(len(known), np.int8))], schema=schema)
+        # what has been told holds of two ids, so of one beside the window's own
+        at = np.minimum(np.searchsorted(told[0], h[first]), max(len(told[0]) - 1, 0))
+        before = (told[0][at] == h[first]) & (told[1][at] == g[first]) if len(told[0]) else np.zeros(len(first), bool)
+        here = np.minimum.reduceat(who, first) != np.maximum.reduceat(who, first)
+        shared = np.repeat(here | before, size)
+        yield batch_of(h[~shared], g[~shared], who[~shared], pos[~shared])
+        new = first[here & ~before]
+        if len(new):  # one row tells the other tasks; the windows themselves need no partner any more
+            yield batch_of(h[new], g[new], who[new], np.full(len(new), -1))
+            every = [np.r_[t, x[new]] for t, x in zip(told, (h, g))] if len(told[0]) + len(new) <= REMEMBERED else [h[new], g[new]]
+            order = np.argsort(every[0], kind="stable")
+            told[:] = [x[order] for x in every]
+        if shared.any():
             order = np.lexsort((pos[shared], who[shared]))
             w, p = who[shared][order], pos[shared][order]
             begins = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (p[1:] > p[:-1] + width)])
             ends = np.r_[p[begins[1:] - 1], p[-1:]] + width
-            # intervals travel under a hash of their own; flag 2 marks them, pos and the hash hold start and end
-            yield pa.RecordBatch.from_arrays([pa.array(ends.astype(np.int64)), pa.array(w[begins]), pa.array(p[begins]), pa.array(np.full(len(begins), 2, np.int8))], schema=schema)
+            own = mixed(mixed(w[begins]) + p[begins].astype(np.uint64))
+            yield batch_of(own, np.full(len(begins), 1 << 32), w[begins], ends << 32 | p[begins])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told, known = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)], set()
         for batch in batches:
             lists = batch.column("values")
             flat = lists.flatten()
             if not len(flat):
                 continue
-            sizes = np.diff(lists.offsets.to_numpy())
-            yield from of(batch.column("id").to_numpy(), flat.fill_null(-1).to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(sizes)].astype(np.int64))
+            offsets = np.r_[0, np.cumsum(np.diff(lists.offsets.to_numpy()))].astype(np.int64)
+            yield from of(*_once(batch.column("id").to_numpy(), flat.fill_null(-1).to_numpy(zero_copy_only=False), offsets, known), told)
 
     return run
 
@@ -88,21 +118,24 @@ def _windows(width: int, schema: pa.Schema):
 def shared_windows(df: DataFrame, id_col: str, values_col: str, width: int) -> DataFrame:
     """Intervals ``(id, start_pos, end_pos)`` of values that stand, window by window, in another id's record too.
 
-    Windows shared inside one Arrow batch are settled there and sent on as merged intervals with one row for each
-    distinct window, so a window that a third of all records hold costs one row a batch. All other windows meet by
-    their hash in one shuffle and are counted there.
+    Windows shared inside one Arrow batch, or found to be shared by an earlier batch of the task, are settled there and
+    sent on as merged intervals; the window itself is told once by each task. So a window that a third of all records
+    hold costs one row a task, and an id delivered again and again counts once a task. All other windows meet by
+    their hashes in one shuffle and are counted there.
     """
-    out = T.StructType([T.StructField("h", T.LongType()), T.StructField("id", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("flag", T.ByteType())])
-    arrow = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()), ("flag", pa.int8())])
+    out = T.StructType([T.StructField(c, T.LongType()) for c in ("h", "g", "id", "at")])
+    arrow = pa.schema([(c, pa.int64()) for c in out.names])
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(values_col).alias("values"))
     rows = rows.where(F.col("id").isNotNull() & (F.size("values") >= width))
     windows = rows.mapInArrow(_windows(width, arrow), out)
-    key = F.when(F.col("flag") == 2, F.xxhash64("id", "pos")).otherwise(F.col("h"))
-    same = Window.partitionBy("k")
+    same = Window.partitionBy("h", "g")
     # a window's row takes some three times the bytes of the value that it begins with
-    met = windows.withColumn("k", key).repartition(partitions_for(df, 3.0), "k").withColumn("low", F.min("id").over(same)).withColumn("high", F.max("id").over(same)).withColumn("told", F.max("flag").over(same))
-    kept = met.where((F.col("flag") == 2) | ((F.col("flag") == 0) & ((F.col("low") != F.col("high")) | (F.col("told") > 0))))
-    return kept.select("id", F.col("pos").alias("start_pos"), F.when(F.col("flag") == 2, F.col("h").cast("int")).otherwise(F.col("pos") + width).alias("end_pos"))
+    met = windows.repartition(partitions_for(df, 3.0, PARTITION_BYTES), "h")
+    met = met.withColumns({"low": F.min("id").over(same), "high": F.max("id").over(same), "told": F.min("at").over(same) < 0})
+    end = F.shiftright("at", 32).cast("int")
+    kept = met.where((end > 0) | ((F.col("at") >= 0) & (F.col("told") | (F.col("low") != F.col("high")))))
+    pos = F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    return kept.select("id", pos.alias("start_pos"), F.when(end > 0, end).otherwise(pos + width).alias("end_pos"))
 
 
 def shared_spans(df: DataFrame, id_col: str = "fp_id", values_col: str = "values", *, width: int = 32) -> DataFrame:
