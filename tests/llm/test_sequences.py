@@ -125,6 +125,24 @@ def test_shared_counts(spark, rows, parts):
     assert rows_of(spans.shared_counts(df, "id", "values", width=4)) == covered(rows, 4)
 
 
+@pytest.mark.parametrize("remembered", [spans.REMEMBERED, 3])
+def test_hot_windows_and_ids_are_sent_once_a_task(monkeypatch, remembered):
+    """Over many batches of one task, a window that all records hold and a record that comes again cost a row each."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(spans, "REMEMBERED", remembered)
+    schema = pa.schema([(c, pa.int64()) for c in ("h", "g", "id", "at")])
+    r = random.Random(8)
+    common = [r.randrange(2**32) for _ in range(6)]
+    records = [(i % 7, common + [i % 7] * 2) for i in range(60)] + [(99, [5, 6, 7, 8, 9])] * 60
+    batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in records[n : n + 5]]), pa.array([v for _, v in records[n : n + 5]])], names=["id", "values"]) for n in range(0, len(records), 5)]
+    rows = [x for b in spans._windows(4, schema)(iter(batches)) for x in b.to_pylist()]
+    told, settled = [x for x in rows if x["at"] == -1], [x for x in rows if x["at"] >> 32 > 0]
+    assert len({(x["h"], x["g"]) for x in told}) == 3 and {x["id"] for x in settled} <= set(range(7))
+    if remembered > 3:
+        assert len(told) == 3 and sum(x["id"] == 99 for x in rows) == 2 and sorted(x["id"] for x in settled) == list(range(7))
+
+
 def test_shared_spans_of_hot_windows(spark):
     r = random.Random(3)
     common = [r.randrange(2**32) for _ in range(40)]
@@ -175,9 +193,20 @@ def near_copies(seed, n, copies):
     return rows
 
 
+def test_an_id_with_several_sets(spark):
+    """Links of every set of an id count; values with nulls and repeats are sets."""
+    a, b = list(range(20)), list(range(100, 120))
+    rows = [(1, 1000, a), (1, 1000, b), (2, 1000, a[:-1] + [77]), (3, 1000, [*b[:-1], 78, 78]), (4, 1000, [None, 1, 2]), (5, 1000, [2, 1, None, None]), (6, 1000, [1, 2]), (7, 1000, [1, 2, -1])]
+    near = neardup.NearDuplicates(spark.createDataFrame(rows, "fp_id long, duration_ms long, values array<bigint>"))
+    assert rows_of(near.pairs()) == [(1, 2), (1, 3), (4, 5), (4, 6), (4, 7), (5, 6), (5, 7), (6, 7)]
+    assert rows_of(near.groups()) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4), (7, 4)]
+
+
+@pytest.mark.parametrize("members", [4096, 2])
 @pytest.mark.parametrize("bucket", [256, 3])
-def test_near_duplicates(spark, monkeypatch, bucket):
+def test_near_duplicates(spark, monkeypatch, bucket, members):
     monkeypatch.setattr(neardup, "BUCKET", bucket)
+    monkeypatch.setattr(neardup, "MEMBERS", members)
     rows = near_copies(4, 12, 8)
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "fp_id long, duration_ms long, values array<bigint>, n int, key string").repartition(3)
     near = neardup.NearDuplicates(df)
@@ -196,6 +225,15 @@ def test_many_equal_copies(spark):
     assert empty.pairs().count() == 0 and empty.groups().count() == 0
 
 
+def test_ten_thousand_equal_sets(spark):
+    """Equal sets of unlike sizes: as many links as there are, and not the square of the class."""
+    df = spark.range(10_000).selectExpr("id as fp_id", "cast(1000 * pow(1.12, id % 100) + id div 100 % 2 as bigint) as duration_ms", "array(1L, 2L, 3L) as values")
+    near = neardup.NearDuplicates(df)
+    assert near.classes.count() == 1 and near.sketched.where("sketch is not null").count() <= 8
+    assert near.pairs().count() == 100 * (100 * 99 // 2)
+    assert near.groups().select("group_id").distinct().count() == 100
+
+
 def test_joint_estimate():
     r = np.random.default_rng(5)
     for similarity in (0.1, 0.5, 0.9):

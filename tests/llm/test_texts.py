@@ -40,6 +40,31 @@ def test_hard_texts(library, encoder):
     assert [list(encoder.stream(t)) for t in HARD] == library(HARD)
 
 
+@pytest.mark.parametrize("most", [0, 50])
+def test_batches_are_cut(spark, monkeypatch, library, most):
+    monkeypatch.setattr(tokens, "MOST_IDS", most)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*HARD[:8], None])], "doc_id long, text string")
+    assert rows_of(tokens.encode(df)) == sorted([(i, library([t])[0] if t else []) for i, t in enumerate([*HARD[:8], None])], key=str)
+
+
+def test_a_vocabulary_with_unreachable_tokens():
+    """'abc' is made of 'ab' and 'c', but 'bc' comes first: such a list is met by its merges alone."""
+    import json
+
+    names = ["a", "b", "c", "bc", "ab", "abc"]
+    rest = [c for c in tokens._byte_letters() if c not in names]
+    data = {"model": {"vocab": {t: i for i, t in enumerate([*names, *rest])}, "merges": ["b c", "a b", "ab c"]}}
+    e = tokens.Encoder(json.dumps(data).encode())
+    assert not e.sound
+    assert list(e.stream("abc")) == [0, 3] and list(e.stream("abab")) == [4, 4] and list(e.stream("ccc")) == [2, 2, 2]
+
+
+def test_merges_alone_equal_the_library(library, encoder):
+    assert encoder.sound
+    for text in HARD:
+        assert [i for m in encoder.find(text) for i in encoder.merges.merge_long(m.group().encode())] == library([text])[0]
+
+
 def test_transducer_emits_early_and_forgets(encoder):
     t, out = tokens.Transducer(encoder.merges), []
     most = 0
@@ -91,6 +116,7 @@ def docs_of(seed, sizes):
 @pytest.mark.parametrize("cell", [20_000, 30])
 def test_shares_are_met(spark, monkeypatch, cell):
     monkeypatch.setattr(mixture, "ROWS_PER_CELL", cell)
+    monkeypatch.setattr(mixture, "ROWS_PER_RANGE", 3 * cell)
     docs = docs_of(1, {" BIG": 500, "mid": 350, "Small ": 130, "other": 100}) + [(9000, None, 50), (9001, "mid", 0), (9002, "mid", None)]
     got, t = mixed(spark, docs, [("big", 0.45, 2), ("mid", 0.4, 3), ("small", 0.15, 2), ("none", 0.0, 4)])
     rows = got.collect()
@@ -120,6 +146,16 @@ def test_short_sources_run_out(spark):
     assert sum(r.amount for r in report.values()) <= sum(sizes.values())
 
 
+def test_targets_named_twice_and_odd_spaces(spark):
+    docs = docs_of(4, {"a": 200, "b": 200})
+    docs = [(k, f"\u2003{s} " if k % 2 else s.upper(), n) for k, s, n in docs]
+    plain = [(k, s.strip().lower(), n) for k, s, n in docs if s.strip(" ").lower() in "ab"]
+    got, t = mixed(spark, docs, [("A ", 0.3, 1), (" a", 0.2, 3), ("b", 0.5, 3), (None, 0.1, 1)])
+    report = {r.source: r for r in mixture.mix_report(got, t).collect()}
+    assert set(report) == {"a", "b"} and abs(report["a"].target_share - 0.5) < 1e-9 and report["a"].reached
+    assert sum(r.amount for r in report.values()) <= sum(n for *_, n in plain)
+
+
 def test_mixture_edges(spark):
     assert mixed(spark, [])[0].count() == 0
     assert mixed(spark, [(1, "big", 5)], [("big", None, None)])[0].count() == 0

@@ -10,6 +10,7 @@ final and is emitted. The state is the open part of the tree, whatever the lengt
 from __future__ import annotations
 
 import codecs
+import heapq
 import json
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -27,6 +28,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces of text whose ids a worker remembers, and the longest piece worth it.
 REMEMBERED, REMEMBERED_LENGTH = 1 << 18, 64
+#: Ids after which a batch of rows is handed on.
+MOST_IDS = 1 << 22
 
 
 def _byte_letters() -> dict[str, int]:
@@ -67,6 +70,10 @@ class Merges:
         self.tails = {b[k:] for b in self.ids for k in range(len(b))}
         self._neighbours: dict[tuple[int, int], bool] = {}
 
+    def sound(self) -> bool:
+        """Whether every token is the encoding of its own text, as the transducer takes for granted."""
+        return all(self.merge(b) == [i] for i, b in self.bytes.items())
+
     def fit(self, left: int, right: int) -> bool:
         """Whether the two tokens together are the encoding of their text."""
         key = (left, right)
@@ -77,6 +84,25 @@ class Merges:
             known = self._neighbours[key] = self.merge(self.bytes[left] + self.bytes[right]) == [left, right]
         return known
 
+    def merge_long(self, text: bytes) -> list[int]:
+        """The encoding of any text by the merge list: neighbours in a heap by rank and place, joined in a linked list."""
+        ids = [self.ids[bytes([b])] for b in text]
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        heap = [(self.rank[w], i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (w := self.merged.get((ids[i], ids[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, left, right = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != left or j >= len(ids) or ids[j] != right:
+                continue
+            ids[i], ids[j], after[i] = self.merged[left, right], -1, after[j]
+            if after[j] < len(ids):
+                before[after[j]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] < len(ids) and (w := self.merged.get((ids[k], ids[after[k]]))) is not None:
+                    heapq.heappush(heap, (self.rank[w], k, ids[k], ids[after[k]]))
+        return [i for i in ids if i >= 0]
+
     def merge(self, text: bytes) -> list[int]:
         """The encoding of a text no longer than two tokens, straight from the merge list."""
         ids = [self.ids[bytes([b])] for b in text]
@@ -155,14 +181,18 @@ class Transducer:
 class Encoder(dict):
     """Ids of pieces of text; a dict of those met before."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, sound: bool | None = None):
         super().__init__()
         self.merges = Merges(data)
+        self.sound = self.merges.sound() if sound is None else sound
         self.find = regex.compile(SPLIT).finditer
 
     def __missing__(self, piece: str) -> list[int]:
-        t = Transducer(self.merges)
-        ids = t.feed(piece.encode()) + t.close()
+        if self.sound:
+            t = Transducer(self.merges)
+            ids = t.feed(piece.encode()) + t.close()
+        else:  # a vocabulary with tokens that their own merges don't reach has no neighbours to judge by
+            ids = self.merges.merge_long(piece.encode())
         if len(piece) <= REMEMBERED_LENGTH:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -187,17 +217,23 @@ class Decoder:
 _ENCODERS: dict[int, Encoder] = {}
 
 
-def encoder(data: bytes) -> Encoder:
+def encoder(data: bytes, sound: bool | None = None) -> Encoder:
     """The encoder of a vocabulary file's content, built once in each process."""
     key = hash(data)
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(data)
+        _ENCODERS[key] = Encoder(data, sound)
     return _ENCODERS[key]
 
 
+def _shared(df: DataFrame, vocabulary: str):
+    """The vocabulary for the workers; that its tokens are sound is found out once, on the driver."""
+    data = Path(vocabulary).read_bytes()
+    return df.sparkSession.sparkContext.broadcast((data, encoder(data).sound))
+
+
 def _batches(shared, text_at: str, make):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(shared.value)
+        e = encoder(*shared.value)
         for batch in batches:
             yield from make(e, batch)
 
@@ -213,23 +249,24 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, voc
     """
     kind = df.schema[id_col].dataType
     out = T.StructType([T.StructField("id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    shared = df.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
+    shared = _shared(df, vocabulary)
 
     def make(e: Encoder, batch: pa.RecordBatch):
         ids: list[int] = []
-        ends = np.zeros(len(batch) + 1, np.int64)
-        parts, held = [], 0
+        ends, first = [0], 0
+
+        def done(last: int) -> pa.RecordBatch:
+            lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(ids, np.int32)))
+            return pa.RecordBatch.from_arrays([batch.column("id").slice(first, last - first), lists], names=["id", "ids"])
+
         for i, text in enumerate(batch.column("text")):
             if text.is_valid:
                 ids.extend(e.stream(text.as_py()))
-            if len(ids) > 1 << 20:
-                parts.append(np.array(ids, np.int32))
-                held += len(ids)
-                ids = []
-            ends[i + 1] = held + len(ids)
-        parts.append(np.array(ids, np.int32))
-        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(parts)))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), lists], names=["id", "ids"])
+            ends.append(len(ids))
+            if len(ids) > MOST_IDS:
+                yield done(i + 1)
+                ids, ends, first = [], [0], i + 1
+        yield done(len(batch))
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_batches(shared, "text", make), out)
@@ -239,7 +276,7 @@ def decode(df: DataFrame, id_col: str = "id", ids_col: str = "ids", *, vocabular
     """``(id, text)``: the text of each list of ids; an empty or null list gives an empty text."""
     kind = df.schema[id_col].dataType
     out = T.StructType([T.StructField("id", kind), T.StructField("text", T.StringType())])
-    shared = df.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
+    shared = _shared(df, vocabulary)
 
     def make(e: Encoder, batch: pa.RecordBatch):
         texts = [Decoder(e.merges).decode(x.as_py() or ()) for x in batch.column("ids")]
@@ -251,7 +288,7 @@ def decode(df: DataFrame, id_col: str = "id", ids_col: str = "ids", *, vocabular
 def count_tokens(df: DataFrame, text_col: str = "text", *, vocabulary: str = VOCABULARY, keep: list[str]) -> DataFrame:
     """The columns ``keep`` and ``n_tokens`` of each row; 0 for empty and null texts."""
     out = T.StructType([*(df.schema[k] for k in keep), T.StructField("n_tokens", T.LongType())])
-    shared = df.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
+    shared = _shared(df, vocabulary)
 
     def make(e: Encoder, batch: pa.RecordBatch):
         n = [sum(1 for _ in e.stream(x.as_py())) if x.is_valid else 0 for x in batch.column(len(keep))]
