@@ -91,13 +91,13 @@ def failed_references(refs: DataFrame, additions: DataFrame, deletions: DataFram
     'deleted' otherwise, 'incomplete' for what ``full`` refuses. Equal references are reported once. A column ``kind``
     that ``refs`` has already is replaced.
     """
-    refs = refs.drop("kind").distinct()
+    # read by every mask, and far smaller than the tables it comes from
+    refs = materialise(refs.drop("kind").distinct(), "references")
     there = lives(additions, deletions, key, at)
     if exempt is not None:
         ever = F.lit(None).cast(refs.schema[at].dataType)
         there = there.unionByName(exempt.select(key, ever.alias("_from"), ever.alias("_to")))
-    # read by every mask, and few rows
-    failed = materialise(orphan_references(refs, [key, at], there, match, {at: ("_from", "_to")}), "failed")
+    failed = orphan_references(refs, [key, at], there, match, {at: ("_from", "_to")})
     partly = F.col(key).isNull() | F.col(at).isNull()
     first = additions.where(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(at).alias("_first"))
     kind = F.when(partly & F.lit(match == "full"), "incomplete").when(F.col("_first").isNull() | F.col(at).isNull(), "missing").when(F.col(at) < F.col("_first"), "late").otherwise("deleted")
