@@ -85,6 +85,39 @@ def test_second_append_replaces_or_accumulates(spark, dataset):
         dataset.truncate_overflow("nothing")
 
 
+def test_appends_are_laid_over_each_other(spark, dataset):
+    """Each accumulated append is a folder of its own; the newest record of an id counts; compaction folds all in."""
+    fps = lambda *rows: spark.createDataFrame(rows, "fp_id long, duration_ms long, values array<bigint>")
+    dataset.append_fingerprints(fps((10, 1, [1]), (77, 1, [1]), (77, 2, [2])))
+    first = dataset.manifest["tables"]["fingerprints"]["overflow"]
+    dataset.append_fingerprints(fps((77, 3, [3]), (88, 1, [1])), mode="accumulate")
+    dataset.append_fingerprints(fps((88, 4, [4])), mode="accumulate")
+    assert dataset.manifest["tables"]["fingerprints"]["overflow"][:1] == first and len(dataset.manifest["tables"]["fingerprints"]["overflow"]) == 3
+    again = Dataset.open(spark, dataset.path)
+    assert rows_of(again.fingerprints().where("from_overflow"), "fp_id", "duration_ms") == [(10, 1), (77, 3), (88, 4)]
+    assert again.lookup(77).duration_ms == 3 and again.fingerprints().count() == 7
+    again.compact()
+    again.vacuum()
+    assert rows_of(Dataset.open(spark, dataset.path)._main("fingerprints").where("fp_id > 50 or fp_id = 10"), "fp_id", "duration_ms") == [(10, 1), (77, 3), (88, 4)]
+
+
+def test_two_writers(spark, dataset):
+    """The second of two writers that opened the same state is refused and loses nothing of the first's."""
+    one, two = Dataset.open(spark, dataset.path), Dataset.open(spark, dataset.path)
+    one.append_fingerprints(ids(spark, 100))
+    with pytest.raises(errors.ConcurrentChange):
+        two.append_fingerprints(ids(spark, 200))
+    assert rows_of(Dataset.open(spark, dataset.path).fingerprints().where("from_overflow"), "fp_id") == [(100,)]
+    one.append_fingerprints(ids(spark, 300), mode="accumulate")
+    assert rows_of(one.fingerprints().where("from_overflow"), "fp_id") == [(100,), (300,)]
+
+
+def test_bands_of_all_bits(spark, tmp_path):
+    fps = lcg_range(spark, 1, 4, 30)
+    ds = Dataset.create(spark, str(tmp_path / "wide"), fingerprints=fps, band_tuning=BandTuning(1, 32), posting_tuning=None)
+    assert [r.fp_id for r in ds.query(fps.where("fp_id = 3").selectExpr("1L as qid", "values")).collect()] == [3]
+
+
 def test_overflow_mappings_shadow(spark, dataset):
     dataset.append_mappings(metadata(spark, [(10, "new", 777, None), (60, "m60", 6, ("x", "y", "z", "1"))]))
     rows = {r.fp_id: (r.track_id, r.from_overflow) for r in dataset.mappings().collect()}
