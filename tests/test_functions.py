@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wavemill import errors
 from wavemill.functions import bits, codec, strings
-from wavemill.tuning import BandTuning, HitOptions, PostingTuning, QueryOptions, auto_tune, grid
+from wavemill.tuning import DEFAULTS, BandTuning, HitOptions, PostingTuning, QueryOptions, auto_tune, grid
 
 U32 = st.integers(0, 2**32 - 1)
 ARRAYS = st.one_of(st.lists(U32, max_size=300), st.lists(st.integers(0, 300), max_size=300))
@@ -122,5 +122,30 @@ def test_tunings_and_options():
             PostingTuning(**bad)
     assert PostingTuning.of() == PostingTuning(8, 0, 64) and PostingTuning.of(4, 3, 2) == PostingTuning(4, 3, 2)
     o = QueryOptions(max_candidates=-1, max_bit_error_rate=0)
-    assert (o.candidates, o.threshold, o.error_rate, o.include_metadata) == (100, 0, 0.35, True)
+    assert (o.candidates, o.threshold, o.error_rate, o.include_metadata) == (100, 0, 0.35, False) and DEFAULTS.include_metadata
     assert (HitOptions().hits, HitOptions().k, HitOptions(4, 1).hits) == (3, 100, 4)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(st.sampled_from([0, 1, 127, 128, 2**14, 2**21, 2**28, 2**31, 2**32 - 1, 77]), max_size=6)), max_size=8))
+def test_batches_equal_single_arrays(rows):
+    import pyarrow as pa
+
+    values = pa.array(rows, pa.list_(pa.int64()))
+    kept = [r for r in rows if r is not None]
+    data, at = codec.compress_all(*codec._flat(values)) if kept else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    assert [data[a:b].tobytes() for a, b in zip(at, at[1:])] == [codec.compress(np.array(r, np.int64)) for r in kept]
+    back = codec.decompress_all(data, at, np.array([len(r) for r in kept], np.int64))
+    assert back.tolist() == [x for r in kept for x in r]
+    # a shorter count leaves the rest out
+    fewer = np.array([max(len(r) - 1, 0) for r in kept], np.int64)
+    assert codec.decompress_all(data, at, fewer).tolist() == [x for r in kept for x in r[:-1]]
+
+
+def test_broken_batches():
+    data, at = codec.compress_all(np.array([5, 300, 7]), np.array([0, 3]))
+    for cut, error in ((3, codec.InvalidCompression), (5, codec.TruncatedVarint)):
+        with pytest.raises(error):
+            codec.decompress_all(data[:cut], np.array([0, cut]), np.array([3]))
+    with pytest.raises(codec.TruncatedVarint):
+        codec.decompress_all(np.r_[data[:4], np.full(5, 255, np.uint8), np.uint8(1)], np.array([0, 10]), np.array([2]))

@@ -1,7 +1,7 @@
 """Array codecs: xor-deltas in variable-length bytes, and in bit-packed blocks with exceptions.
 
-The first value stands as four little-endian bytes, then the xor of each value with the one before it. Whole batches
-are encoded at once with numpy; Spark runs the codecs as Arrow functions.
+The first value stands as four little-endian bytes, then the xor of each value with the one before it. Spark runs the
+codecs as Arrow functions; a batch of arrays is encoded in variable length at once, in blocks one array at a time.
 """
 
 from __future__ import annotations
@@ -99,6 +99,64 @@ def decompress(data: bytes, count: int) -> np.ndarray:
     return np.bitwise_xor.accumulate(np.r_[np.uint64(int.from_bytes(data[:4], "little")), deltas]).astype(np.int64)
 
 
+def compress_all(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``compress`` of many arrays, array k from ``offsets[k]`` to ``offsets[k + 1]``: all bytes, and where each begins."""
+    v, n = np.asarray(values, np.uint64), np.diff(offsets)
+    x = np.zeros(len(v), np.uint64)
+    x[1:] = v[1:] ^ v[:-1]
+    heads = offsets[:-1][n > 0]
+    rest = np.ones(len(v), bool)
+    rest[heads] = False
+    data, size = varint_encode(x[rest])
+    each = np.zeros(len(v), np.int64)
+    each[rest], each[heads] = size, 4
+    before = np.r_[0, np.cumsum(each)]
+    at = before[offsets]
+    out = np.empty(at[-1], np.uint8)
+    first = before[heads][:, None] + np.arange(4)
+    body = np.ones(len(out), bool)
+    body[first] = False
+    out[first] = v[heads].astype("<u4").view(np.uint8).reshape(-1, 4)
+    out[body] = data
+    return out, at
+
+
+def decompress_all(data: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``decompress`` of many arrays, one after the other; bytes beyond an array's count are left out."""
+    n = counts.astype(np.int64)
+    if (np.diff(at)[n > 0] < 4).any():
+        raise InvalidCompression("no first value")
+    head = at[:-1][n > 0][:, None] + np.arange(4)
+    stops = data < 128
+    stops[head] = False
+    stop = np.flatnonzero(stops)
+    # of each array, its first count - 1 numbers: where they end, and where they begin
+    low, high = np.searchsorted(stop, at[:-1]), np.searchsorted(stop, at[1:])
+    wanted = np.maximum(n - 1, 0)
+    if (high - low < wanted).any():
+        raise TruncatedVarint("numbers are missing")
+    place = np.repeat(low - (np.cumsum(wanted) - wanted), wanted) + np.arange(wanted.sum())
+    ends = stop[place]
+    first = np.zeros(len(place), bool)
+    first[(np.cumsum(wanted) - wanted)[wanted > 0]] = True
+    starts = np.where(first, np.repeat(at[:-1] + 4, wanted), np.r_[-1, ends[:-1]] + 1)
+    if (ends - starts >= 5).any():
+        raise TruncatedVarint("more than 5 bytes")
+    deltas = np.zeros(len(place), np.uint64)
+    for k in range(5):
+        has = starts + k <= ends
+        deltas[has] |= (data[starts[has] + k].astype(np.uint64) & np.uint64(127)) << np.uint64(7 * k)
+    x = np.zeros(n.sum(), np.uint64)
+    begin = np.cumsum(n) - n
+    heads = begin[n > 0]
+    rest = np.ones(len(x), bool)
+    rest[heads] = False
+    x[heads] = np.ascontiguousarray(data[head]).view("<u4").ravel()
+    x[rest] = deltas & np.uint64(0xFFFFFFFF)
+    run = np.bitwise_xor.accumulate(x) if len(x) else x
+    return (run ^ np.repeat(np.r_[np.uint64(0), run][heads], n[n > 0])).astype(np.int64)
+
+
 def compress_packed(values: np.ndarray) -> bytes:
     """Block-packed encoding of one array; nothing for an empty one."""
     v = np.asarray(values, np.uint64)
@@ -163,18 +221,43 @@ def _applied(function, result: str, *columns: Column | str) -> Column:
     return run(*columns)
 
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The items of all lists (or the bytes of all binaries) that aren't null, and where each begins."""
+    column = column.drop_null()
+    if pa.types.is_binary(column.type):
+        at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]] if len(at) else np.zeros(0, np.uint8)
+        return data, at - at[0] if len(at) else np.zeros(1, np.int64)
+    at = column.offsets.to_numpy().astype(np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), at - at[0]
+
+
+def _placed(array: pa.Array, there: np.ndarray) -> pa.Array:
+    """The items of ``array`` at the rows that are ``there``, nulls elsewhere."""
+    return array.take(pa.array(np.cumsum(there) - 1, mask=~there))
+
+
 def encoded(values: Column | str) -> Column:
-    """Bytes of the variable-length encoding; null for null."""
+    """Bytes of the variable-length encoding, a batch of arrays at a time; null for null."""
 
     def run(values: pa.Array) -> pa.Array:
-        return _encoder(compress)(values)
+        there = values.is_valid().to_numpy(zero_copy_only=False)
+        if not there.any():
+            return pa.nulls(len(values), pa.binary())
+        data, at = compress_all(*_flat(values))
+        return _placed(pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)]), there)
 
     return _applied(run, "binary", values)
 
 
 def decoded(data: Column | str, count: Column | str) -> Column:
     def run(data: pa.Array, count: pa.Array) -> pa.Array:
-        return _decoder(decompress)(data, count)
+        there = data.is_valid().to_numpy(zero_copy_only=False) & count.is_valid().to_numpy(zero_copy_only=False)
+        if not there.any():
+            return pa.nulls(len(data), pa.list_(pa.int64()))
+        n = count.filter(pa.array(there)).to_numpy()
+        values = decompress_all(*_flat(data.filter(pa.array(there))), n)
+        return _placed(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(values)), there)
 
     return _applied(run, "array<bigint>", data, count)
 
