@@ -256,6 +256,25 @@ def test_letters_are_learned_by_source(spark):
     assert sum(texts[i] == t for i, t in got.items()) >= 0.95 * len(got)
 
 
+def test_a_page_that_is_not_listed(spark):
+    """A real page held out of the list, read as one that is: its own letters are learned, and texts found and restored."""
+    assert "mac-cyrillic" not in encodings.PAGES
+    r, parts = random.Random(5), "про сто ка пе ре мо жет ник тан ция ска зать бы лет ми ну та ве ли чи на дол жен ста рый мя со зна ет вы бор ля ет гор дом яс ная пя тый".split()
+    words = ["".join(r.choices(parts, k=r.randrange(2, 5))) for _ in range(3000)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(8, 20))) for _ in range(9000)]
+    wrong = lambda t: t.encode("mac-cyrillic").decode("mac-roman")
+    rows = [(i, wrong(t) if i % 90 == 0 else t, f"s{i % 3}") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    model = encodings.learn(df)
+    learned = {c: d for own in model.tables.values() for t in own.values() for c, d in t.items()}
+    assert learned and all(wrong(d) == c for c, d in learned.items()) and wrong("я") in learned
+    assert all(encodings.Reader([n]).once(c, n.rstrip("*")) != d for own in model.tables.values() for n, t in own.items() for c, d in t.items())
+    got = {x.id: x.restored for x in encodings.garbled(df, model=model).collect()}
+    bad = set(range(0, len(texts), 90))
+    assert len(set(got) & bad) >= 0.9 * len(bad) and len(set(got) - bad) <= 0.1 * len(got)
+    assert sum(got[i] == texts[i] for i in bad & set(got)) >= 0.9 * len(bad)
+
+
 def test_several_ciphers_in_a_text():
     """Paragraphs under different ciphers, and one cipher over another."""
     counts = defaultdict(float)
