@@ -213,14 +213,14 @@ class NearDuplicates:
         found = found.where(F.least("n_a", "n_b") >= F.lit(self.similarity) * F.greatest("n_a", "n_b"))
         found = materialise(found.select(*PAIR, "n_a", "n_b"), "candidates")
         ends = lambda df: df.select(F.explode(F.array(*(F.struct(F.col(f"{x}1").alias("c1"), F.col(f"{x}2").alias("c2")) for x in "ab"))).alias("c")).select("c.*").distinct()
-        met = materialise(ends(found), "met")
+        met = ends(found)
         light = thinned(self.leads.select("c1", "c2", "sketch"), met, "c1").join(met, ["c1", "c2"], "left_semi").dropDuplicates(["c1", "c2"])
         a, b = (light.select(F.col("c1").alias(f"{x}1"), F.col("c2").alias(f"{x}2"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
         likely = found.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).mapInArrow(_estimates(self.similarity), pair)
         likely = materialise(likely, "likely")
-        discard(met), discard(found)
+        discard(found)
         wanted = ends(likely)
-        ids = materialise(thinned(self.leads.select("id", "c1", "c2"), wanted, "c1").join(wanted, ["c1", "c2"], "left_semi").select("id").distinct(), "wanted")
+        ids = self.leads.select("id", "c1", "c2").join(wanted, ["c1", "c2"], "left_semi").select("id").distinct()
         sets = self._named(thinned(self.rows, ids, "id")).select("c1", "c2", "set").join(wanted, ["c1", "c2"], "left_semi")
         sets = materialise(sets.dropDuplicates(["c1", "c2"]), "sets")
         a, b = (sets.select(F.col("c1").alias(f"{x}1"), F.col("c2").alias(f"{x}2"), F.col("set").alias(f"set_{x}")) for x in "ab")
