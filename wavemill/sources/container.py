@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from wavemill.errors import BadMagic, CorruptOverflow, DatasetMismatch, InvalidCompression, InvalidTuning, OffsetOutOfBounds, UnknownFlags, UnsupportedVersion
+from wavemill.errors import BadMagic, CorruptOverflow, DatasetMismatch, InvalidCompression, InvalidTuning, OffsetOutOfBounds, TruncatedVarint, UnknownFlags, UnsupportedVersion
 from wavemill.functions import codec
 from wavemill.operators import bands, postings
 from wavemill.schema import BAND_POSTINGS, FINGERPRINTS, MAPPINGS, SAMPLED_POSTINGS, U32
@@ -184,15 +184,20 @@ def _bucket_postings(data: bytes, count: int, packed: bool) -> tuple[np.ndarray,
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(data) < 6:
         raise InvalidCompression("a posting list is broken")
-    ids, pos, at = [int.from_bytes(data[:4], "little")], [int.from_bytes(data[4:6], "little")], 6
+    # a number of unknown length and two bytes by turns: only one after the other tells where each begins
+    ids, pos, at, end = [int.from_bytes(data[:4], "little")], [int.from_bytes(data[4:6], "little")], 6, len(data)
     for _ in range(count - 1):
-        (delta,), n = codec.varint_decode(np.frombuffer(data, np.uint8, min(5, len(data) - at), at), 1)
-        at += n
-        if at + 2 > len(data):
+        delta, shift = 0, 0
+        while at < end and data[at] > 127 and shift < 28:
+            delta |= (data[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+        if at + 3 > end:
             raise InvalidCompression("a posting list is broken")
-        ids.append(ids[-1] + int(delta) & U32)
-        pos.append(int.from_bytes(data[at : at + 2], "little"))
-        at += 2
+        if data[at] > 127:
+            raise TruncatedVarint("more than 5 bytes")
+        ids.append(ids[-1] + (delta | data[at] << shift) & U32)
+        pos.append(data[at + 1] | data[at + 2] << 8)
+        at += 3
     return np.array(ids), np.array(pos)
 
 
@@ -329,9 +334,17 @@ def _encode_bucket(ids: np.ndarray, pos: np.ndarray, packed: bool) -> bytes:
     if packed:
         return codec.compress_postings(ids, pos)
     deltas, size = codec.varint_encode(np.diff(ids))
-    at = np.r_[0, np.cumsum(size)]
-    body = [deltas[at[k] : at[k + 1]].tobytes() + int(p).to_bytes(2, "little") for k, p in enumerate(pos[1:])]
-    return int(ids[0]).to_bytes(4, "little") + int(pos[0]).to_bytes(2, "little") + b"".join(body)
+    body = _woven(deltas, size, np.asarray(pos[1:], "<u2").view(np.uint8), np.full(len(pos) - 1, 2))
+    return int(ids[0]).to_bytes(4, "little") + int(pos[0]).to_bytes(2, "little") + body[0].tobytes()
+
+
+def _woven(one: np.ndarray, n_one: np.ndarray, two: np.ndarray, n_two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of ``one`` and ``two`` by turns, of the given sizes; and where each turn begins."""
+    at = np.cumsum(n_one + n_two) - (n_one + n_two)
+    out = np.empty(len(one) + len(two), np.uint8)
+    for data, n, start in ((one, n_one, at), (two, n_two, at + n_one)):
+        out[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(len(data))] = data
+    return out, at
 
 
 def _grouped(keys: np.ndarray) -> list[tuple[int, int]]:
@@ -445,13 +458,14 @@ def write_container(df: DataFrame, path: str, kind: str, family: str, *, packed:
         if kind == "I":
             skip, before, seen = np.zeros(n_skip, SKIP), 0, 0
             for t, p in zip(tables, parts):
-                with open(p, "rb") as g:
-                    for row in t:
-                        if seen % tuning.skip_interval == 0:
-                            skip[seen // tuning.skip_interval] = (row["hash"], f.tell() - start)
-                        f.write(codec.varint_encode(np.array([int(row["hash"]) - before]))[0].tobytes())
-                        f.write(g.read(int(row["length"])))
-                        before, seen = int(row["hash"]), seen + 1
+                deltas, size = codec.varint_encode(np.diff(np.r_[before, t["hash"].astype(np.int64)]))
+                data, at = _woven(deltas, size, np.fromfile(p, np.uint8), t["length"].astype(np.int64))
+                rank = seen + np.arange(len(t))
+                first = rank % tuning.skip_interval == 0
+                skip["hash"][rank[first] // tuning.skip_interval] = t["hash"][first]
+                skip["at"][rank[first] // tuning.skip_interval] = f.tell() - start + at[first]
+                f.write(data.tobytes())
+                before, seen = int(t["hash"][-1]), seen + len(t)
         else:
             for p in parts:
                 with open(p, "rb") as g:
