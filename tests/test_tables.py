@@ -25,6 +25,9 @@ def test_filters_keep_what_is_wanted(spark, monkeypatch):
         assert kept.columns == ["k", "x"] and wanted.join(kept, "k", "left_anti").count() == 0
         assert kept.count() <= wanted.count() + 20_500 * 3000 / bits + 20
     assert tables.thinned(rows, wanted.where("false"), "k").count() == 0
+    texts = spark.createDataFrame([("a",), (None,), ("b",)], "k string")
+    got = {r.k: r.m for r in tables.marked(texts, texts.where("k is null or k = 'b'"), "k", "m").collect()}
+    assert got == {"a": False, None: True, "b": True}
 
 
 def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):

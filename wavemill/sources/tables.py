@@ -68,19 +68,27 @@ def discard(df: DataFrame) -> None:
 FILTER_BITS = 1 << 25
 
 
-def thinned(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """The rows of ``df`` whose integer ``key`` may stand in ``wanted`` (its column of that name), and some others.
+def marked(df: DataFrame, wanted: DataFrame, key: str, mark: str) -> DataFrame:
+    """``df`` with a boolean ``mark``: whether ``key`` may stand in ``wanted`` (its column of that name). Where it says no,
+    the key doesn't.
 
-    It spares a semi-join the shuffle of rows that have no partner: the hashes of the wanted keys set bits in a filter of
-    fixed size, whatever the tables' sizes, and rows at an unset bit go. One row in ``FILTER_BITS`` / number of wanted
-    keys is kept wrongly, so an exact join must follow.
+    The hashes of the wanted keys (a null is a key like any other) set bits in a filter of fixed size, whatever the tables'
+    sizes, so no row is shuffled. Of other keys one in ``FILTER_BITS`` / number of wanted keys is marked wrongly.
     """
     place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
     bits = wanted.select(place.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
     at = F.bitmap_bit_position(place)
     byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    met = df.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("_bucket")).where(F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1)
-    return met.select(*df.columns)
+    met = df.join(F.broadcast(bits), F.bitmap_bucket_number(place) == F.col("_bucket"), "left")
+    return met.select(*df.columns, F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1, F.lit(False)).alias(mark))
+
+
+def thinned(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may stand in ``wanted``, and some others (see ``marked``).
+
+    It spares a semi-join the shuffle of rows that have no partner; the exact join must follow.
+    """
+    return marked(df, wanted, key, "_wanted").where("_wanted").drop("_wanted")
 
 
 #: Bytes that one partition of a shuffle should hold.
