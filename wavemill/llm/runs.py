@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wavemill.sources.tables import marked
+
 #: Symbols are the code points above the basic plane, two for each event of a chunk's dictionary.
 FIRST_SYMBOL, EVENTS = 0x10000, 1 << 19
 #: Values turned into one symbol string at a time.
@@ -88,7 +90,8 @@ def collapse_runs(df: DataFrame, id_col: str = "fp_id", values_col: str = "value
 
     Events become code points, records become strings and a backreference finds the repetitions; a record is
     handled inside its own row. Equal stretches of an id count once. With ``min_len`` 1, where the result is as long as
-    the records, only the stretches of ids with several rows are compared; those of all others are shuffled nowhere.
+    the records, only the stretches of ids with several rows are compared, which a filter of fixed size tells apart; all
+    others are shuffled nowhere.
 
     Null and empty ``values`` give no row; a null element is a stretch of its own with a null value; a null duration
     gives a null share; a null id is kept as an id. Columns other than the three named ones are ignored.
@@ -102,7 +105,7 @@ def collapse_runs(df: DataFrame, id_col: str = "fp_id", values_col: str = "value
     runs = _run(max_bits, min_len, to_arrow_schema(out))
     if min_len > 1:
         return rows.mapInArrow(runs, out).distinct()
-    several = rows.groupBy("id").count().where("count > 1").select(F.col("id").alias("_id"))
-    same = F.col("id").eqNullSafe(F.col("_id"))
-    alone, again = (rows.join(several, same, how).mapInArrow(runs, out) for how in ("left_anti", "left_semi"))
+    several = rows.groupBy("id").count().where("count > 1").select("id")
+    known = marked(rows, several, "id", "several")
+    alone, again = (known.where(which).drop("several").mapInArrow(runs, out) for which in ("not several", "several"))
     return alone.unionByName(again.distinct())
