@@ -141,7 +141,7 @@ class Dataset:
         return cls.open(spark, path)
 
     def _checked(self, rows: DataFrame, empty: bool = True) -> DataFrame:
-        """Fingerprints whose values an index position can address; overflow records must not be empty either."""
+        """Fingerprints whose values an index position can address; without ``empty`` they must have values, too."""
         bad = rows.where((F.size("values") > MAX_VALUES) | (F.lit(not empty) & (F.coalesce(F.size("values"), F.lit(0)) < 1)))
         if not bad.isEmpty():
             raise OffsetOutOfBounds(f"fingerprint {bad.select('fp_id').first()[0]} has no or too many values")
@@ -276,9 +276,10 @@ class Dataset:
         self.manifest["tables"][name]["overflow"] = [*(before if mode == "accumulate" else []), self._write(name, rows)]
         self._publish()
 
-    def append_fingerprints(self, records: DataFrame, mode: str = "replace") -> None:
+    def append_fingerprints(self, records: DataFrame, mode: str = "replace", empty: bool = False) -> None:
+        """Records without values are refused; with ``empty`` they supersede the records of their ids like any others."""
         self._need("fingerprints", NoDataStore)
-        self._append("fingerprints", self._checked(records, empty=False), mode)
+        self._append("fingerprints", self._checked(records, empty=empty), mode)
 
     def append_mappings(self, records: DataFrame, mode: str = "replace") -> None:
         self._need("mappings", RecordNotFound)
