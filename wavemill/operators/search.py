@@ -9,10 +9,11 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavemill.functions.bits import bit_errors, bucket_of, class_name, classify, overlap, quantized
+from wavemill.operators import dense
 from wavemill.operators.bands import exploded_bands
 from wavemill.tuning import DEFAULTS, BandTuning, HitOptions, PostingTuning, QueryOptions
 
@@ -23,6 +24,9 @@ SENT_ROWS = 200_000
 SPREAD = 16
 #: Different keys up to which a batch also filters the scan, and the ranges that then cover the keys.
 PROBED_KEYS, RANGES = 4096, 16
+#: Meetings of a batch with a band index from which they are counted as arrays, buckets up to which that is possible,
+#: and query values from which votes are counted so.
+DENSE_MEETINGS, DENSE_BUCKETS, DENSE_VALUES = 200_000_000, 4096, 50_000
 
 
 def covering(keys: list[int], most: int = RANGES) -> list[tuple[int, int]]:
@@ -70,6 +74,40 @@ def _values(queries: DataFrame) -> int:
     return queries.agg(F.coalesce(F.sum(F.greatest(F.size("values"), F.lit(0))), F.lit(0))).first()[0]
 
 
+def _numbered(queries: DataFrame, *indexes: DataFrame | None) -> bool:
+    """Whether the ids are whole numbers, as the arrays need them."""
+    kinds = [dict(queries.dtypes)["qid"], *(dict(x.dtypes)["fp_id"] for x in indexes if x is not None)]
+    return set(kinds) <= {"bigint", "int", "smallint", "tinyint"}
+
+
+def _sides(queries: DataFrame, postings: DataFrame, tuning: BandTuning, overflow: DataFrame | None, least: Column) -> DataFrame | None:
+    """Both sides of a band search for ``dense``, if the batch meets the index so often that it is worth it; ``least``
+    is what a candidate needs by the size of its query, ``_size``."""
+    if tuning.total_buckets > DENSE_BUCKETS or not _numbered(queries, postings, overflow):
+        return None
+    if _values(queries) * tuning.num_bands * postings.count() / tuning.total_buckets < DENSE_MEETINGS:
+        return None
+    q = exploded_bands(queries, "qid", tuning, "qpos").groupBy("qid", "band", "band_value").agg(F.count(F.lit(1)).alias("qn"), F.min("qpos").alias("q1"))
+    sizes = queries.select(F.col("qid").alias("_qid"), F.size("values").alias("_size"))
+    q = q.join(sizes, q["qid"].eqNullSafe(F.col("_qid"))).withColumn("least", least)
+
+    def bucket(df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", bucket_of(F.col("band"), F.col("band_value"), tuning))
+
+    parts = [x.where(F.col("fp_id").isNotNull() & F.col("pos").isNotNull()).select("band", "band_value", "fp_id", "pos", F.lit(late).alias("late")) for late, x in enumerate((postings, overflow)) if x is not None]
+    rows = bucket(reduce(DataFrame.unionByName, parts)).where(F.col("bucket").between(0, tuning.total_buckets - 1) & F.col("band_value").between(0, tuning.buckets_per_band - 1))
+    return dense.band_rows(bucket(q), rows)
+
+
+def match_counts(queries: DataFrame, postings: DataFrame, tuning: BandTuning = BandTuning(), overflow: DataFrame | None = None) -> DataFrame:
+    """``(qid, n_matches, n_fps)``: all meetings of a query with the index, and the fingerprints that it meets."""
+    sides = _sides(queries, postings, tuning, overflow, F.lit(1))
+    if sides is not None:
+        return dense.band_counts(sides, tuning.total_buckets)
+    met = band_matches(queries, postings, tuning, overflow)
+    return met.groupBy("qid").agg(F.sum("matches").alias("n_matches"), F.count(F.lit(1)).alias("n_fps"))
+
+
 def band_matches(queries: DataFrame, postings: DataFrame, tuning: BandTuning = BandTuning(), overflow: DataFrame | None = None) -> DataFrame:
     """``(qid, fp_id, matches, qpos, pos)``: how often a fingerprint's postings meet the query's bands, and where the
     first meeting lies (in order of query position, band, main before overflow, position).
@@ -101,12 +139,16 @@ def band_candidates(queries: DataFrame, postings: DataFrame, tuning: BandTuning
 
     The adaptive threshold is 2 % of the query's bands, at least 3.
     """
-    met = band_matches(queries, postings, tuning, overflow)
-    if options.threshold:
-        met = met.where(F.col("matches") >= options.threshold)
+    adaptive = lambda size: F.greatest(F.lit(3), F.floor(size * F.lit(tuning.num_bands) / 50))
+    sides = _sides(queries, postings, tuning, overflow, F.lit(options.threshold) if options.threshold else adaptive(F.col("_size")))
+    if sides is not None:
+        met = dense.band_candidates(sides, tuning.total_buckets, options.candidates)
+        met = met if options.threshold else met.where(F.col("qid").isNotNull())
+    elif options.threshold:
+        met = band_matches(queries, postings, tuning, overflow).where(F.col("matches") >= options.threshold)
     else:
-        sizes = queries.select("qid", F.greatest(F.lit(3), F.floor(F.size("values") * F.lit(tuning.num_bands) / 50)).alias("least"))
-        met = met.join(sizes, "qid").where(F.col("matches") >= F.col("least")).drop("least")
+        sizes = queries.select("qid", adaptive(F.size("values")).alias("least"))
+        met = band_matches(queries, postings, tuning, overflow).join(sizes, "qid").where(F.col("matches") >= F.col("least")).drop("least")
     best = Window.partitionBy("qid").orderBy(F.desc("matches"), "fp_id")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= options.candidates).drop("rank")
 
@@ -172,7 +214,10 @@ def full_query(queries: DataFrame, postings: DataFrame, *, tuning: PostingTuning
     q = queries.select("qid", F.posexplode("values").alias("p", "v")).where(F.col("v").isNotNull())
     q = q.select("qid", "p", quantized("v", tuning.qbits).alias("hash"))
     parts = [probed(index, q.select("hash"), "hash") for index in (postings, overflow) if index is not None]
-    votes = _met(q, reduce(DataFrame.unionByName, parts), ["hash"], _values(queries)).select("qid", "fp_id", (F.col("ordinal") * tuning.stride - F.col("p")).alias("delta"))
+    values = _values(queries)
+    if values > DENSE_VALUES and _numbered(queries, *parts):
+        return _ranked_hits(dense.best_votes(q, reduce(DataFrame.unionByName, parts), tuning.stride, options.hits), options)
+    votes = _met(q, reduce(DataFrame.unionByName, parts), ["hash"], values).select("qid", "fp_id", (F.col("ordinal") * tuning.stride - F.col("p")).alias("delta"))
     # an offset short of the votes can't be its fingerprint's answer, so it goes before the best one is sought
     votes = votes.groupBy("qid", "fp_id", "delta").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= options.hits)
     # most votes, then the smaller absolute offset, then the smaller one, as one number (28, 34 and 1 bits)
@@ -180,7 +225,10 @@ def full_query(queries: DataFrame, postings: DataFrame, *, tuning: PostingTuning
     best = votes.groupBy("qid", "fp_id").agg(F.min(rank).alias("b"))
     away = F.shiftrightunsigned("b", 1).bitwiseAND(F.lit((1 << 34) - 1)).cast("int")
     delta = F.when(F.col("b").bitwiseAND(F.lit(1)) == 1, away).otherwise(-away)
-    best = best.select("qid", "fp_id", (F.lit((1 << 28) - 1) - F.shiftrightunsigned("b", 35)).alias("hits"), delta.alias("delta"))
+    return _ranked_hits(best.select("qid", "fp_id", (F.lit((1 << 28) - 1) - F.shiftrightunsigned("b", 35)).alias("hits"), delta.alias("delta")), options)
+
+
+def _ranked_hits(best: DataFrame, options: HitOptions) -> DataFrame:
     order = Window.partitionBy("qid").orderBy(F.desc("hits"), F.abs("delta"), "delta", "fp_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= options.k)
 

@@ -180,8 +180,7 @@ def query_full_verified(spark, d):
 
 def band_search_counts(spark, d):
     """How many postings each query meets in all."""
-    met = search.band_matches(_queries(spark, d), _bands(spark, d))
-    return met.groupBy("qid").agg(F.sum("matches").alias("n_matches"), F.count(F.lit(1)).alias("n_fps"))
+    return search.match_counts(_queries(spark, d), _bands(spark, d))
 
 
 def band_candidates(spark, d):
