@@ -25,8 +25,8 @@ SPREAD = 16
 #: Different keys up to which a batch also filters the scan, and the ranges that then cover the keys.
 PROBED_KEYS, RANGES = 4096, 16
 #: Meetings of a batch with a band index from which they are counted as arrays, buckets up to which that is possible,
-#: and query values from which votes are counted so.
-DENSE_MEETINGS, DENSE_BUCKETS, DENSE_VALUES = 200_000_000, 4096, 50_000
+#: query values from which votes are counted so, and those up to which their hashes (some 30 MB) probe the index before.
+DENSE_MEETINGS, DENSE_BUCKETS, DENSE_VALUES, PROBED_VALUES = 200_000_000, 4096, 50_000, 2_000_000
 
 
 def covering(keys: list[int], most: int = RANGES) -> list[tuple[int, int]]:
@@ -216,7 +216,10 @@ def full_query(queries: DataFrame, postings: DataFrame, *, tuning: PostingTuning
     parts = [probed(index, q.select("hash"), "hash") for index in (postings, overflow) if index is not None]
     values = _values(queries)
     if values > DENSE_VALUES and _numbered(queries, *parts):
-        return _ranked_hits(dense.best_votes(q, reduce(DataFrame.unionByName, parts), tuning.stride, options.hits), options)
+        every = reduce(DataFrame.unionByName, parts)
+        if values <= PROBED_VALUES:  # the probe goes below the steps that make postings distinct
+            every = every.join(F.broadcast(q.select("hash").distinct()), "hash", "left_semi")
+        return _ranked_hits(dense.best_votes(q, every, tuning.stride, options.hits), options)
     votes = _met(q, reduce(DataFrame.unionByName, parts), ["hash"], values).select("qid", "fp_id", (F.col("ordinal") * tuning.stride - F.col("p")).alias("delta"))
     # an offset short of the votes can't be its fingerprint's answer, so it goes before the best one is sought
     votes = votes.groupBy("qid", "fp_id", "delta").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= options.hits)
