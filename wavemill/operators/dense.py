@@ -120,13 +120,18 @@ def _table(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c, dtype=np.int64)) for c in columns.values()], names=list(columns))
 
 
-def band_rows(queries: DataFrame, postings: DataFrame) -> DataFrame:
+def band_numbers(queries: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides of a band search as numbers: queries ``(qid, bucket, band, qn, q1, least)`` and postings
     ``(fp_id, bucket, late, pos)``."""
     at = F.shiftleft(F.col("q1").cast("bigint"), BAND_BITS) + F.col("band")
     q = queries.select(F.coalesce("qid", F.lit(NO_ID)).cast("bigint").alias("key"), F.col("bucket").cast("bigint").alias("code"), at.cast("bigint").alias("at"), F.col("qn").alias("n"), F.col("least").cast("bigint").alias("least"))
     late = F.shiftleft(F.col("late").cast("bigint"), POS_BITS) + F.col("pos")
-    return _parts(q, postings.select(F.col("fp_id").cast("bigint").alias("key"), F.col("bucket").cast("bigint").alias("code"), late.alias("at")))
+    return q, postings.select(F.col("fp_id").cast("bigint").alias("key"), F.col("bucket").cast("bigint").alias("code"), late.alias("at"))
+
+
+def band_rows(queries: DataFrame, postings: DataFrame) -> DataFrame:
+    """The numbers of both sides, each posting in the part of its id."""
+    return _parts(*band_numbers(queries, postings))
 
 
 def band_candidates(rows: DataFrame, buckets: int, k: int) -> DataFrame:

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavemill.functions.bits import bit_errors, bucket_of, class_name, classify, overlap, quantized
-from wavemill.operators import dense
+from wavemill.operators import dense, packed
 from wavemill.operators.bands import exploded_bands
+from wavemill.sources.tables import free_shuffles, materialise, thinned
 from wavemill.tuning import DEFAULTS, BandTuning, HitOptions, PostingTuning, QueryOptions
 
 
@@ -80,12 +81,13 @@ def _numbered(queries: DataFrame, *indexes: DataFrame | None) -> bool:
     return set(kinds) <= {"bigint", "int", "smallint", "tinyint"}
 
 
-def _sides(queries: DataFrame, postings: DataFrame, tuning: BandTuning, overflow: DataFrame | None, least: Column) -> DataFrame | None:
-    """Both sides of a band search for ``dense``, if the batch meets the index so often that it is worth it; ``least``
-    is what a candidate needs by the size of its query, ``_size``."""
-    if tuning.total_buckets > DENSE_BUCKETS or not _numbered(queries, postings, overflow):
+def _sides(queries: DataFrame, postings: DataFrame, tuning: BandTuning, overflow: DataFrame | None, least: Column) -> tuple[DataFrame, DataFrame, int] | None:
+    """Both sides of a band search by arrays and the number of postings, if the batch meets the index so often that it is
+    worth it; ``least`` is what a candidate needs by the size of its query, ``_size``."""
+    if not _numbered(queries, postings, overflow):
         return None
-    if _values(queries) * tuning.num_bands * postings.count() / tuning.total_buckets < DENSE_MEETINGS:
+    n = postings.count()
+    if _values(queries) * tuning.num_bands * n / tuning.total_buckets < DENSE_MEETINGS:
         return None
     q = exploded_bands(queries, "qid", tuning, "qpos").groupBy("qid", "band", "band_value").agg(F.count(F.lit(1)).alias("qn"), F.min("qpos").alias("q1"))
     sizes = queries.select(F.col("qid").alias("_qid"), F.size("values").alias("_size"))
@@ -96,14 +98,14 @@ def _sides(queries: DataFrame, postings: DataFrame, tuning: BandTuning, overflow
 
     parts = [x.where(F.col("fp_id").isNotNull() & F.col("pos").isNotNull()).select("band", "band_value", "fp_id", "pos", F.lit(late).alias("late")) for late, x in enumerate((postings, overflow)) if x is not None]
     rows = bucket(reduce(DataFrame.unionByName, parts)).where(F.col("bucket").between(0, tuning.total_buckets - 1) & F.col("band_value").between(0, tuning.buckets_per_band - 1))
-    return dense.band_rows(bucket(q), rows)
+    return bucket(q), rows, n
 
 
 def match_counts(queries: DataFrame, postings: DataFrame, tuning: BandTuning = BandTuning(), overflow: DataFrame | None = None) -> DataFrame:
     """``(qid, n_matches, n_fps)``: all meetings of a query with the index, and the fingerprints that it meets."""
-    sides = _sides(queries, postings, tuning, overflow, F.lit(1))
+    sides = _sides(queries, postings, tuning, overflow, F.lit(1)) if tuning.total_buckets <= DENSE_BUCKETS else None
     if sides is not None:
-        return dense.band_counts(sides, tuning.total_buckets)
+        return dense.band_counts(dense.band_rows(*sides[:2]), tuning.total_buckets)
     met = band_matches(queries, postings, tuning, overflow)
     return met.groupBy("qid").agg(F.sum("matches").alias("n_matches"), F.count(F.lit(1)).alias("n_fps"))
 
@@ -141,16 +143,26 @@ def band_candidates(queries: DataFrame, postings: DataFrame, tuning: BandTuning
     """
     adaptive = lambda size: F.greatest(F.lit(3), F.floor(size * F.lit(tuning.num_bands) / 50))
     sides = _sides(queries, postings, tuning, overflow, F.lit(options.threshold) if options.threshold else adaptive(F.col("_size")))
+    best = Window.partitionBy("qid").orderBy(F.desc("matches"), "fp_id")
     if sides is not None:
-        met = dense.band_candidates(sides, tuning.total_buckets, options.candidates)
+        q, rows, n = sides
+        if tuning.total_buckets > DENSE_BUCKETS:
+            met = packed.candidates(*dense.band_numbers(q, rows), n, options.candidates)
+        else:
+            met = dense.band_candidates(dense.band_rows(q, rows), tuning.total_buckets, options.candidates)
         met = met if options.threshold else met.where(F.col("qid").isNotNull())
     elif options.threshold:
         met = band_matches(queries, postings, tuning, overflow).where(F.col("matches") >= options.threshold)
     else:
         sizes = queries.select("qid", adaptive(F.size("values")).alias("least"))
         met = band_matches(queries, postings, tuning, overflow).join(sizes, "qid").where(F.col("matches") >= F.col("least")).drop("least")
-    best = Window.partitionBy("qid").orderBy(F.desc("matches"), "fp_id")
-    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= options.candidates).drop("rank")
+    met = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= options.candidates).drop("rank")
+    if sides is None or tuning.total_buckets <= DENSE_BUCKETS:
+        return met
+    # few rows, written once: the postings moved for them leave the disk before what follows takes its own
+    met = materialise(met, "candidates")
+    free_shuffles(met.sparkSession)
+    return met
 
 
 def _either(main: DataFrame, overflow: DataFrame | None, columns: list[str], ties: tuple[str, ...] = ()) -> DataFrame:
@@ -192,6 +204,8 @@ def band_query(queries: DataFrame, postings: DataFrame, fingerprints: DataFrame,
     (by ``added_at`` if there). Empty and null queries have no match.
     """
     found = band_candidates(queries, postings, tuning, options, overflow_postings)
+    if hasattr(found, "scratch_path"):  # written already, so it can also tell which fingerprints need to be moved
+        fingerprints = thinned(fingerprints, found, "fp_id")
     found = found.select("qid", "fp_id", "matches", (F.col("pos") - F.col("qpos")).alias("offset"))
     found = verified(found, queries, fingerprints, overflow_fingerprints).withColumn("ber", F.col("errors") / F.col("bits"))
     found = found.withColumn("score", classify(F.col("ber"))).where((F.col("ber") < options.error_rate) & (F.col("score") < 3))

@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from wavemill.errors import ConcurrentChange, CorruptOverflow, DatasetMismatch, NoDataStore, NoIndex, NoPostingIndex, NoSearchIndex, OffsetOutOfBounds, RecordNotFound, UnknownFlags, UnsupportedVersion
 from wavemill.functions import codec
-from wavemill.operators import bands, overlay, postings, search, stats
+from wavemill.operators import bands, overlay, packed, postings, search, stats
 from wavemill.schema import TABLES
+from wavemill.sources.tables import free_shuffles
 from wavemill.tuning import DEFAULTS, MAX_VALUES, BandTuning, HitOptions, PostingTuning, QueryOptions
 
 log = logging.getLogger("wavemill")
@@ -156,7 +157,12 @@ class Dataset:
         extra = [c for c in ("added_at",) if c in rows.columns]
         folder = f"{name}/{uuid.uuid4().hex}"
         keys = LAYOUT[name]
-        rows.select(*columns, *extra).repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(f"{self.path}/{folder}")
+        if name == "band_postings":  # the largest table: moved in few bytes, and ids stored by their differences
+            out = packed.laid_out(rows, self.band_tuning.buckets_per_band, "bigint" if wide else "int").select(*columns)
+            out.write.options(**{"compression": "zstd", "parquet.writer.version": "v2"}).parquet(f"{self.path}/{folder}")
+        else:
+            rows.select(*columns, *extra).repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(f"{self.path}/{folder}")
+        free_shuffles(self.spark)
         self.files.write(f"{folder}.json", json.dumps({"dataset_id": self.manifest["dataset_id"]}))
         log.info("wrote %s", folder)
         return folder

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -64,6 +65,12 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the files of shuffles that nothing refers to any more deleted now, not when the driver happens to collect."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Bits of the filter that goes to every executor (4 MB).
 FILTER_BITS = 1 << 25
 
