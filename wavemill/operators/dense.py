@@ -19,6 +19,8 @@ from wavemill.sources.tables import partitions_for
 NO_ID = -(1 << 63)
 #: Cells of one matrix, and votes expanded at once (as many as stay in a core's cache).
 CELLS, VOTES = 1 << 21, 1 << 16
+#: Rows of a batch that leaves a task.
+ROWS = 1 << 16
 #: Bits of a position, below the bit of a late posting; bits of a band below a query's position.
 POS_BITS, BAND_BITS = 26, 5
 #: How many times the bytes of its files an index takes as arrays.
@@ -179,6 +181,28 @@ def band_counts(rows: DataFrame, buckets: int) -> DataFrame:
     return found.groupBy("qid").agg(F.sum("n_matches").alias("n_matches"), F.sum("n_fps").alias("n_fps")).withColumn("qid", F.nullif("qid", F.lit(NO_ID)))
 
 
+def band_sums(rows: DataFrame, buckets: int) -> DataFrame:
+    """``(qid, fp_id, n, positions)`` of ``band_rows``: of each pair that meets, how often it does and the sum of the
+    postings' positions over all meetings, each by a matrix product."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held(batches)
+        pos = held.at & ((1 << POS_BITS) - 1)
+        for numbers, wide, _, _, matrix in _blocks(held, buckets):
+            most = float(wide.sum(0, dtype=np.float64).max(initial=0))
+            for a, b, s in held.chunks(max(1, CELLS // buckets)):
+                sums = np.bincount((held.f[s] - a) * buckets + held.code[s], pos[s], (b - a) * buckets).reshape(b - a, buckets)
+                kind = np.float32 if sums.sum(1).max(initial=0) * most < 1 << 24 else np.float64  # sums stay exact
+                m, t = matrix(a, b, s) @ wide, sums.astype(kind) @ wide.astype(kind, copy=False)
+                f, q = np.nonzero(m)
+                for c in range(0, len(f), ROWS):
+                    fs, qs = f[c : c + ROWS], q[c : c + ROWS]
+                    yield _table(qid=held.qids[numbers[qs]], fp_id=held.ids[fs + a], n=m[fs, qs], positions=t[fs, qs])
+
+    found = rows.mapInArrow(run, "qid long, fp_id long, n long, positions long")
+    return found.withColumn("qid", F.nullif("qid", F.lit(NO_ID)))
+
+
 def best_votes(queries: DataFrame, postings: DataFrame, stride: int, least: int) -> DataFrame:
     """``(qid, fp_id, hits, delta)``: of queries ``(qid, p, hash)`` and postings ``(hash, fp_id, ordinal)`` the offset
     with most votes of each pair (then the smaller absolute, then the smaller offset), if it has ``least``."""

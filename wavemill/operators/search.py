@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wavemill.functions.bits import bit_errors, bucket_of, class_name, classify, overlap, quantized
 from wavemill.operators import dense, packed
-from wavemill.operators.bands import exploded_bands
+from wavemill.operators.bands import band_search, exploded_bands
 from wavemill.sources.tables import free_shuffles, materialise, thinned
 from wavemill.tuning import DEFAULTS, BandTuning, HitOptions, PostingTuning, QueryOptions
 
@@ -110,6 +110,15 @@ def match_counts(queries: DataFrame, postings: DataFrame, tuning: BandTuning = B
     return met.groupBy("qid").agg(F.sum("matches").alias("n_matches"), F.count(F.lit(1)).alias("n_fps"))
 
 
+def match_sums(queries: DataFrame, postings: DataFrame, tuning: BandTuning = BandTuning(), overflow: DataFrame | None = None) -> DataFrame:
+    """``(qid, fp_id, n, positions)``: of each query and fingerprint all meetings and the sum of their positions."""
+    sides = _sides(queries, postings, tuning, overflow, F.lit(1)) if tuning.total_buckets <= DENSE_BUCKETS else None
+    if sides is not None:
+        return dense.band_sums(dense.band_rows(*sides[:2]), tuning.total_buckets)
+    met = band_search(queries, postings, tuning, overflow)
+    return met.groupBy("qid", "fp_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("pos").cast("bigint")).alias("positions"))
+
+
 def band_matches(queries: DataFrame, postings: DataFrame, tuning: BandTuning = BandTuning(), overflow: DataFrame | None = None) -> DataFrame:
     """``(qid, fp_id, matches, qpos, pos)``: how often a fingerprint's postings meet the query's bands, and where the
     first meeting lies (in order of query position, band, main before overflow, position).
